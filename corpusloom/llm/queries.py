@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, warc
+from . import ann, decontam, minhash, packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
+        "op5_decontamination": decontam.op5_decontamination,
+        "op7_minhash": minhash.op7_minhash,
+        "op8_ann": ann.op8_ann,
         "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op5_decontamination": decontam.OP5_SQL, "op7_minhash": minhash.OP7_SQL, "op8_ann": ann.OP8_SQL}
