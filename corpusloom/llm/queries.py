@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, minhash, packing, warc
+from . import ann, cotrain, decontam, html_extract, minhash, packing, pii, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
+        "op3_quality": cotrain.op3_quality,
+        "op4_pii": pii.op4_pii,
         "op5_decontamination": decontam.op5_decontamination,
+        "op6_html": html_extract.op6_html,
         "op7_minhash": minhash.op7_minhash,
         "op8_ann": ann.op8_ann,
         "op9_packing": packing.op9_packing,
