@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, cotrain, decontam, html_extract, minhash, packing, pii, warc
+from . import ann, brown_lm, cotrain, decontam, html_extract, minhash, packing, pii, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_brown": brown_lm.op2_brown,
         "op3_quality": cotrain.op3_quality,
         "op4_pii": pii.op4_pii,
         "op5_decontamination": decontam.op5_decontamination,
