@@ -2,9 +2,11 @@
 
 A document's shingle hashes are dealt to bins by their upper bits; each bin keeps its smallest
 hash, and an empty bin copies from a bin that a universal hash of (bin, attempt) finds.  Bands of
-bins name buckets; in a bucket, members are compared with its smallest document (a star), and
-only members that then still lie in different components are compared further.  Every link is
-confirmed on full shingle sets.
+bins name buckets; in a bucket, members are compared with its smallest document (a star): first in
+a few bands, then in all of them, but only across components.  Members that then still lie in
+different components are compared too, so that no link is lost: in small buckets in pairs, in
+others where the sets' differences from one document of the bucket's group share enough
+rare shingles.  Every link is confirmed on full shingle sets.
 
 Edge cases: a null text, or one without words, has no shingles and is linked with nothing; a
 text of fewer words than a shingle is one shingle; equal sets form one class without being
@@ -19,13 +21,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch, stored, table, workspace
 
-#: 128 bins in 32 bands of 4: at a similarity of 0.8 a pair shares no band with a chance of 5e-8.
-BINS, ROWS_PER_BAND = 128, 4
+#: 512 bins in 64 bands of 8: at a similarity of 0.8 a pair shares no band with a chance of 8e-6, at 0.3 one with 0.4 %.
+BINS, ROWS_PER_BAND = 512, 8
+#: Bands of the first stars, which join most of a group; buckets of so many members are compared in pairs at once.
+FIRST_BANDS, PAIRED = 8, 6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 200_000
 
@@ -132,11 +136,17 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, "doc_id long, shingles binary")
 
 
+def with_sets(pairs: DataFrame, docs: DataFrame, width: int, path: str) -> DataFrame:
+    """pairs(a, b) with both full sets: a, b, x, y."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(full_sets(docs.join(ends, "doc_id", "left_semi"), width).distinct(), f"{path}-sets", "none")
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    return left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+
 def confirmed(edges: DataFrame, docs: DataFrame, width: int, percent: int, path: str) -> DataFrame:
     """Those of edges(a, b) whose full sets are similar enough: 100 * intersection >= percent * union."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(full_sets(docs.join(ends, "doc_id", "left_semi"), width), f"{path}-sets", "none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,9 +158,45 @@ def confirmed(edges: DataFrame, docs: DataFrame, width: int, percent: int, path:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], schema=schema)
 
-    left = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    pairs = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(arrow_map(pairs, run, "a long, b long").distinct(), f"{path}-links")
+    return stored(arrow_map(with_sets(edges, docs, width, path), run, "a long, b long").distinct(), f"{path}-links")
+
+
+def by_differences(rest: DataFrame, docs: DataFrame, width: int, percent: int, path: str) -> DataFrame:
+    """Pairs (a, b) of rest(pivot, doc, component) that may be similar across components.
+
+    With D(x) the symmetric difference of x and the pivot c, two sets are similar only if
+    |D(x) & D(y)| >= (|D(x)| + |D(y)| - r (|x| + |y|)) / 2, r = (100 - percent) / (100 + percent).  As sets
+    similar to c are of one component, one of the two isn't: |D(y)| > r (|y| + |c|).  So at least
+    t = (|D(x)| + r (|c| - |x|)) / 2 elements are shared, and one of the |D(x)| - t + 1 rarest of D(x) is in D(y).
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_()), ("rarest", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    less, more = 100 - percent, 100 + percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near, rarest, elements = [], [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                c, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                d = np.setxor1d(c, y, assume_unique=True)
+                near.append(len(d) * more <= less * (len(c) + len(y)))
+                rarest.append(len(d) - max(1, -(-(more * len(d) + less * (len(c) - len(y))) // (2 * more))) + 1)
+                elements.append(d.view(np.int64))
+            yield batch(schema, [b.column(0), b.column(1), near, rarest, elements])
+
+    duos = stored(rest.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), f"{path}-duos")
+    diffs = stored(arrow_map(with_sets(duos, docs, width, path), run, "a long, b long, near boolean, rarest long, elements array<long>"), f"{path}-diffs", "none")
+    labels = rest.select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "component").distinct()
+    rows = stored(diffs.join(labels, ["a", "b"]).select("a", "b", "near", "rarest", "component", F.explode("elements").alias("e")), f"{path}-elements")
+    counted = rows.join(rows.groupBy("a", "e").agg(F.count("*").alias("n")), ["a", "e"]).filter("n > 1")
+    # Elements of one set only match nothing, but are its rarest.
+    alone = diffs.select("a", "b", F.size("elements").alias("size"))
+    first = counted.join(alone, ["a", "b"]).withColumn("left", F.count("*").over(Window.partitionBy("a", "b")))
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "e")) + F.col("size") - F.col("left")).filter("place <= rarest")
+    x = first.select("a", "e", F.col("b").alias("p"), F.col("component").alias("cp"))
+    y = rows.filter("NOT near").select("a", "e", F.col("b").alias("q"), F.col("component").alias("cq"))
+    pairs = x.join(y, ["a", "e"]).filter("cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    own = diffs.filter("near AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.union(own).distinct()
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -188,23 +234,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         f"{path}/classes",
     )
-    members = classes.select(F.explode("bands").alias("bucket"), "doc", "n")
-    stars = members.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("c"), F.max("doc").alias("last")).filter("c.doc < last")
-    alike = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
-    shared = stored(members.join(stars.select("bucket", F.col("c.doc").alias("center"), F.col("c.n").alias("center_n")), "bucket"), f"{path}/shared")
-    edges = stored(shared.filter((F.col("doc") != F.col("center")) & alike(F.col("n"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(), f"{path}/edges")
-    links = confirmed(edges, docs, width, percent, f"{path}/first")
-    found = stored(components(links, f"{path}/c1"), f"{path}/found1")
-
-    # Members of a bucket that the star left in different components: pairs across components only.
-    labelled = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    torn = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    rest = stored(labelled.join(torn, "bucket", "left_semi").filter((F.col("doc") != F.col("center"))).select("bucket", "doc", "n", "component"), f"{path}/rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")))
-    more = stored(across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), f"{path}/more")
-    links = links.union(confirmed(more, docs, width, percent, f"{path}/second"))
-    found = stored(components(links, f"{path}/c2"), f"{path}/found2")
+    # Sets of up to three shingles have no partner but equal sets.
+    members = classes.filter("n > 3").select(F.posexplode("bands").alias("band", "bucket"), "doc")
+    crowded = members.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("bucket")
+    shared = stored(members.join(crowded, "bucket"), f"{path}/shared")
+    sizes = classes.select("doc", "n")
+    links = spark.createDataFrame([], "a long, b long")
+    checked, found = links, spark.createDataFrame([], "node long, component long")
+    for name in ("first", "all", "rest"):
+        at = shared.filter(F.col("band") < FIRST_BANDS) if name == "first" else shared
+        at = at.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        torn = at.groupBy("bucket").agg(
+            F.min("component").alias("pivot"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min(F.struct("doc", "component")).alias("center")
+        ).filter("pivot < hi")
+        if name != "rest":
+            pairs = at.join(torn, "bucket").filter("component <> center.component").select(F.least("doc", "center.doc").alias("a"), F.greatest("doc", "center.doc").alias("b"))
+        else:
+            rest = stored(at.join(torn.filter("size > 2"), "bucket").select("bucket", "doc", at.component, "pivot", "size"), f"{path}/rest")
+            few = rest.filter(F.col("size") <= PAIRED)
+            x, y = few.alias("x"), few.alias("y")
+            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+            many = rest.filter(F.col("size") > PAIRED)
+            if not many.isEmpty():
+                pairs = pairs.union(by_differences(many, docs, width, percent, f"{path}/differences"))
+        sized = pairs.distinct().join(sizes.withColumnsRenamed({"doc": "a", "n": "m"}), "a").join(sizes.withColumnsRenamed({"doc": "b"}), "b")
+        alike = F.least("m", "n") * 100 >= F.greatest("m", "n") * percent
+        edges = stored(sized.filter(alike).select("a", "b").join(checked, ["a", "b"], "left_anti"), f"{path}/edges-{name}")
+        if edges.isEmpty():
+            continue
+        checked = checked.union(edges)
+        links = links.union(confirmed(edges, docs, width, percent, f"{path}/{name}"))
+        found = stored(components(links, f"{path}/components-{name}"), f"{path}/found-{name}")
 
     by_class = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component_id"))
     return rows.join(by_class, "set_key", "left").select(
