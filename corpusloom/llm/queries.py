@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, brown_lm, cotrain, decontam, html_extract, minhash, packing, pii, warc
+from . import ann, brown_lm, cotrain, decontam, html_extract, minhash, packing, pii, rlindex, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash": minhash.op7_minhash,
         "op8_ann": ann.op8_ann,
         "op9_packing": packing.op9_packing,
+        "op10_repeats": rlindex.op10_repeats,
     }
 
 
