@@ -14,7 +14,6 @@ training documents the score is the base score; an empty table gives no rows; ex
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, shuffle_count, stored, table, workspace
+from .common import arrow_map, batch, drop, shuffle_count, stored, table, workspace
 
 #: Classes; words that are exchanged one by one on the driver, from at most (HEAD + 2)^2 counts; rounds over them.
 CLASSES, HEAD, PASSES = 48, 1000, 6
@@ -45,31 +44,47 @@ def _training() -> F.Column:
 # Corpus counts
 
 
-def block_words(blocked: DataFrame) -> DataFrame:
-    """(block, word, n): words of each block of documents with their counts in training documents."""
-    schema = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
+BLOCKED = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("doc_id", pa.int64()), ("training", pa.bool_()), ("ids", pa.binary()), ("word", pa.binary()), ("local", pa.int32()), ("n", pa.int64())])
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Documents as numbers of their block's words, and each block's words with their training counts.
+
+    A block is a scan partition, or a part of one once its words are many; nothing is shuffled.
+    Rows of kind ``doc`` hold doc_id, training and ids; those of kind ``word`` hold word, local and n.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, tuple[Counter, set]] = {}
+        from pyspark import TaskContext
 
-        def out():
-            for block, (c, others) in counts.items():
-                others -= c.keys()
-                yield batch(schema, [[block] * (len(c) + len(others)), [*c, *others], [*c.values(), *[0] * len(others)]])
-            counts.clear()
+        block = TaskContext.get().partitionId() << 20
+        index: dict[bytes, int] = {}
+        counts = np.zeros(0, np.int64)
+
+        def dictionary() -> pa.RecordBatch:
+            m = len(index)
+            none = pa.nulls(m)
+            return batch(BLOCKED, [["word"] * m, [block] * m, none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.binary()), list(index), np.arange(m, dtype=np.int32), counts])
 
         for b in batches:
-            for block, text, training in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                c, others = counts.setdefault(block, (Counter(), set()))
-                if training:
-                    c.update(words_of(text))
-                else:
-                    others.update(words_of(text))
-            if sum(len(c) + len(o) for c, o in counts.values()) > FLUSH:
-                yield from out()
-        yield from out()
+            out = []
+            for text in b.column(1).to_pylist():
+                out.append(np.array([index.setdefault(w, len(index)) for w in words_of(text)], np.int32))
+            counts = np.concatenate([counts, np.zeros(len(index) - len(counts), np.int64)])
+            used = [ids for ids, training in zip(out, b.column(2).to_pylist(), strict=True) if training]
+            if used:
+                counts += np.bincount(np.concatenate(used), minlength=len(counts))
+            m, none = b.num_rows, pa.nulls(b.num_rows)
+            yield batch(BLOCKED, [["doc"] * m, [block] * m, b.column(0), b.column(2), [x.tobytes() for x in out], none.cast(pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())])
+            if len(index) > FLUSH:
+                yield dictionary()
+                index.clear()
+                counts = np.zeros(0, np.int64)
+                block += 1
+        if index:
+            yield dictionary()
 
-    return arrow_map(blocked.select("block", "text", "training"), run, "block int, word binary, n long")
+    return arrow_map(docs.select("doc_id", "text", "training"), run, "kind string, block long, doc_id long, training boolean, ids binary, word binary, local int, n long")
 
 
 def head_bigrams(docs: DataFrame, head: list[bytes]) -> np.ndarray:
@@ -239,28 +254,30 @@ class ClassModel:
         self.log_p = np.log10(np.column_stack([p, p[:, :k] @ unseen]))
 
 
-def encode(blocked: DataFrame, dictionary: DataFrame, model: ClassModel) -> DataFrame:
+def encode(numbered: DataFrame, dictionary: DataFrame, model: ClassModel) -> DataFrame:
     """Per document: counts, base score, emission score and the string of its words' classes."""
     schema = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("emission", pa.float64()), ("classes", pa.binary())])
     n, v, k = model.train_tokens, model.distinct, model.k
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        index = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        count = words.column("n").to_numpy().astype(np.float64)
-        own = words.column("class").to_numpy()
+        size = len(words)
+        local = words.column("local").to_numpy()
+        count, own = np.zeros(size), np.zeros(size, np.int64)
+        count[local] = words.column("n").to_numpy()
+        own[local] = words.column("class").to_numpy()
         base = np.log10((np.append(count, model.ends) + 0.5) / (n + 0.5 * (v + 1)))
-        emit = np.zeros(len(count) + 1)
+        emit = np.zeros(size + 1)
         seen = count > 0
         emit[:-1][seen] = np.log10((count[seen] - DISCOUNT) / model.totals[own[seen]])
         code = np.append(np.where(seen, own, k + 1), k).astype(np.uint8)
         known = np.append(seen, model.ends > 0)
         out = []
-        for doc, text, training in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), docs.column("training").to_pylist(), strict=True):
-            ids = np.array([*map(index.__getitem__, words_of(text)), len(count)], np.int64)
+        for doc, raw, training in zip(docs.column("doc_id").to_pylist(), docs.column("ids").to_pylist(), docs.column("training").to_pylist(), strict=True):
+            ids = np.append(np.frombuffer(raw, np.int32), size)
             out.append((doc, training, len(ids), int(known[ids].sum()), float(base[ids].sum()), float(emit[ids].sum()), code[ids].tobytes()))
         return pa.Table.from_batches([batch(schema, [list(c) for c in zip(*out, strict=True)])]) if out else schema.empty_table()
 
-    return blocked.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, "doc_id long, training boolean, n_tokens long, n_known long, base_score double, emission double, classes binary")
+    return numbered.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, "doc_id long, training boolean, n_tokens long, n_known long, base_score double, emission double, classes binary")
 
 
 def transitions(encoded: DataFrame, k: int) -> np.ndarray:
@@ -306,10 +323,10 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head_words: int = H
     spark = docs.sparkSession
     path = workspace(spark, "brown")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _training().alias("training"))
-    blocks = max(shuffle_count(spark), docs.rdd.getNumPartitions())
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    own = stored(block_words(blocked.repartition(blocks, "block")), f"{path}/block_words")
-    vocabulary = stored(own.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), f"{path}/vocabulary")
+    blocks_of(docs).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    own = blocks.filter("kind = 'word'").select("block", "word", "local", "n")
+    vocabulary = stored(own.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), f"{path}/vocabulary", free=True)
     sums = vocabulary.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     ends = docs.filter("training").count()
     head = [bytes(r["word"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(head_words).collect()]
@@ -317,16 +334,18 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head_words: int = H
     groups, pairs = exchange(head_bigrams(training, head), classes)
     head_class = {w: int(c) for w, c in zip(head, groups, strict=True)}
     tasks = max(shuffle_count(spark), -(-sums["words"] // WORDS_A_TASK))
-    rest = stored(rest_classes(training, head_class, pairs, tasks), f"{path}/rest")
+    rest = stored(rest_classes(training, head_class, pairs, tasks), f"{path}/rest", free=True)
     frequent = spark.createDataFrame([(w, c) for w, c in head_class.items()], "word binary, class int")
-    lexicon = stored(vocabulary.join(rest.union(frequent), "word"), f"{path}/lexicon")
+    lexicon = stored(vocabulary.join(rest.union(frequent), "word"), f"{path}/lexicon", free=True)
+    drop(spark, f"{path}/rest")
     k = len(pairs) - 2
     totals, sizes = np.zeros(k), np.zeros(k)
     for r in lexicon.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         totals[r["class"]], sizes[r["class"]] = r["n"], r["words"]
     model = ClassModel(sums["tokens"] + ends, sums["words"] + (ends > 0), ends, totals, sizes)
-    dictionary = own.select("block", "word").distinct().join(lexicon, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(0)).alias("class"))
-    encoded = stored(encode(blocked, dictionary, model), f"{path}/encoded")
+    matched = own.select("block", "word", "local").join(lexicon, "word", "left")
+    dictionary = stored(matched.select("block", "local", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(0)).alias("class")), f"{path}/dictionary", free=True)
+    encoded = stored(encode(blocks.filter("kind = 'doc'").select("block", "doc_id", "training", "ids"), dictionary, model), f"{path}/encoded", free=True)
     model.fit_transitions(transitions(encoded, k))
     return add_scores(encoded, model)
 

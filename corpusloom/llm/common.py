@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,10 +36,30 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
-    """Write a table and read it again: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, path: str, compression: str = "zstd", free: bool = False) -> DataFrame:
+    """Write a table and read it again: cuts the lineage, survives lost executors.
+
+    With ``free`` the shuffle files of finished steps, which nothing refers to any more, are let go at once.
+    """
+    spark, schema = df.sparkSession, df.schema
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage, on which Spark removes the shuffle files of what was collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a work table that isn't needed any more, wherever it is stored."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -158,7 +158,7 @@ def confirmed(edges: DataFrame, docs: DataFrame, width: int, percent: int, path:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], schema=schema)
 
-    return stored(arrow_map(with_sets(edges, docs, width, path), run, "a long, b long").distinct(), f"{path}-links")
+    return stored(arrow_map(with_sets(edges, docs, width, path), run, "a long, b long").distinct(), f"{path}-links", free=True)
 
 
 def by_differences(rest: DataFrame, docs: DataFrame, width: int, percent: int, path: str) -> DataFrame:
@@ -229,15 +229,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     path = workspace(spark, "minhash")
-    rows = stored(sketches(docs, width), f"{path}/sketches")
+    rows = stored(sketches(docs, width), f"{path}/sketches", free=True)
     classes = stored(
         rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         f"{path}/classes",
+        free=True,
     )
     # Sets of up to three shingles have no partner but equal sets.
     members = classes.filter("n > 3").select(F.posexplode("bands").alias("band", "bucket"), "doc")
     crowded = members.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("bucket")
-    shared = stored(members.join(crowded, "bucket"), f"{path}/shared")
+    shared = stored(members.join(crowded, "bucket"), f"{path}/shared", free=True)
     sizes = classes.select("doc", "n")
     links = spark.createDataFrame([], "a long, b long")
     checked, found = links, spark.createDataFrame([], "node long, component long")

@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     path = workspace(spark, "rlindex")
     every = stored(all_stretches(docs, length, gram), f"{path}/stretches")
     again = lambda df, *cols: df.groupBy(*cols).agg(F.count("*").alias("n")).filter("n > 1").select(*cols)
-    shared = stored(every.join(again(every, "fp"), "fp", "left_semi"), f"{path}/shared")
+    shared = stored(every.join(again(every, "fp"), "fp", "left_semi"), f"{path}/shared", free=True)
     whole = shared.groupBy("fp", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "first", "last", "left", "right")).alias("one"))
     whole = stored(whole, f"{path}/whole")
     full = shared.join(whole.filter("copies > 1").select("fp", "whole"), ["fp", "whole"], "left_semi").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
