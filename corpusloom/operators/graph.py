@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
+from corpusloom.sources.tables import checkpointed
 
 DECAY = 0.85
 SEARCHABLE = ("RELATED_TO", "USES", "EXTENDS", "COMPARES_WITH", "EVALUATES", "CONTRADICTS", "SUPPORTS", "PART_OF", "IS_A")
@@ -37,13 +38,15 @@ def incoming(edges: DataFrame, nodes: DataFrame, kind: str, targets: DataFrame,
     return every.filter(F.size("chunks") > 0).orderBy("dst", "src", F.array_join("chunks", ",")).limit(limit)
 
 
-def chase(redirects: DataFrame, rounds: int = 16) -> DataFrame:
+def chase(redirects: DataFrame, longest: int = 1 << 16) -> DataFrame:
     """(loser, survivor) at the end of each chain, by doubling; what a cycle holds keeps no survivor."""
-    out = redirects.select("loser", "survivor")
-    for _ in range(rounds.bit_length()):
+    out, open_ = redirects.select("loser", "survivor"), redirects.select(F.col("loser").alias("survivor")).distinct()
+    for _ in range(longest.bit_length()):
+        out = checkpointed(out)
+        if out.join(open_, "survivor", "left_semi").isEmpty():
+            return out
         step = out.select(F.col("loser").alias("survivor"), F.col("survivor").alias("beyond"))
         out = out.join(step, "survivor", "left").select("loser", F.coalesce("beyond", "survivor").alias("survivor"))
-    open_ = redirects.select(F.col("loser").alias("survivor")).distinct()
     looped = out.join(open_, "survivor", "left_semi").select("loser").distinct().withColumn("cycle", F.lit(True))
     return out.join(looped, "loser", "left").select("loser", F.when(F.col("cycle").isNull(), F.col("survivor")).alias("survivor"))
 
@@ -54,16 +57,14 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     The labels are written out by checkpoint() each round.
     """
     near = both_ways(edges)
-    spark = near.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/corpusloom-checkpoints")
-    near = near.checkpoint()
+    near = checkpointed(near)
     labels = near.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     for _ in range(rounds):
         least = near.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("least"))
         step = labels.join(least.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("via"))
         further = step.select(F.col("node").alias("via"), F.col("via").alias("further"))
-        new = step.join(further, "via").select("node", "was", F.least("via", "further").alias("component")).checkpoint()
+        new = step.join(further, "via").select("node", "was", F.least("via", "further").alias("component"))
+        new = checkpointed(new)
         labels = new.select("node", "component")
         if new.filter("was <> component").isEmpty():
             break

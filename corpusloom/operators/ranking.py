@@ -40,7 +40,7 @@ def positional_score(query_rank: Column, rank: Column, limit: int) -> Column:
 
 
 def distance_score(distance: Column, rank: Column) -> Column:
-    return F.coalesce(1.0 / (1.0 + F.greatest(distance, F.lit(0.0))), 1.0 / rank)
+    return F.when(distance.isNotNull(), 1.0 / (1.0 + F.greatest(distance, F.lit(0.0)))).otherwise(1.0 / rank)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -48,7 +48,7 @@ def vector_topk_per_collection(t):
     return vectors(t).select("query_id", "label", "vec_id", "score", "rank")
 
 
-@query(f"WITH {VEC} SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM topv QUALIFY rank <= 10")
+@query(f"WITH {VEC} SELECT * FROM (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM topv) WHERE rank <= 10")
 def vector_cosine_topk(t):
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return vectors(t).withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("query_id", "vec_id", "score", "rank")
@@ -138,7 +138,7 @@ def about_rank_score(t):
     return t.part.select("p_partkey", F.round(K.claim_score(F.col("p_name"), F.col("p_type"), F.col("p_type"), F.lit("blue large problem"), size / 100, size % 2 == 0, size % 5 == 0), 6).alias("score"))
 
 
-@query("""SELECT c_custkey, 'WORK_' || lpad((row_number() OVER (ORDER BY c_custkey))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY c_custkey))::VARCHAR)), '0') AS key FROM customer WHERE c_nationkey = 3""")
+@query("""SELECT c_custkey, 'WORK_' || lpad((row_number() OVER (ORDER BY c_custkey))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY c_custkey))::VARCHAR))::INT, '0') AS key FROM customer WHERE c_nationkey = 3""")
 def scope_catalogue(t):
     w = t.customer.filter("c_nationkey = 3")
     return w.select("c_custkey", F.format_string("WORK_%03d", F.row_number().over(Window.orderBy("c_custkey"))).alias("key"))

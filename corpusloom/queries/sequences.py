@@ -43,23 +43,23 @@ def label_repair(t):
 
 
 def sections(t):
-    return t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), (F.col("l_partkey") % 3 + 1).cast("int").alias("level"), (F.col("l_linenumber") * 2).alias("page"), F.lit(99).alias("last_page"))
+    return t.events.select(F.col("user_id").alias("doc"), F.col("event_id").alias("ord"), (F.col("event_id") * 7 % 3 + 1).cast("int").alias("level"), (F.col("event_id") % 1000).alias("page"), F.lit(9999).cast("long").alias("last_page"))
 
 
-SECTIONS = "SELECT l_orderkey AS doc, l_linenumber AS ord, (l_partkey % 3 + 1)::INT AS level, l_linenumber * 2 AS page FROM lineitem"
+SECTIONS = "SELECT user_id AS doc, event_id AS ord, (event_id * 7 % 3 + 1)::INT AS level, event_id % 1000 AS page FROM events"
 
 
 @query(f"""WITH s AS ({SECTIONS}) SELECT a.doc, a.ord, (SELECT arg_max(b.ord, b.ord) FROM s b WHERE b.doc = a.doc AND b.ord < a.ord AND b.level < a.level) AS parent_id,
-  coalesce((SELECT arg_min(b.page, b.ord) FROM s b WHERE b.doc = a.doc AND b.ord > a.ord AND b.level <= a.level), 99) AS page_end FROM s a""")
+  coalesce((SELECT arg_min(b.page, b.ord) FROM s b WHERE b.doc = a.doc AND b.ord > a.ord AND b.level <= a.level), 9999) AS page_end FROM s a""")
 def section_hierarchy(t):
     return S.section_parents(S.page_ends(sections(t), "doc", "ord", "level", "page", "last_page"), "doc", "ord", "level", "ord").select("doc", "ord", "parent_id", "page_end")
 
 
-@query(f"""WITH RECURSIVE s AS ({SECTIONS}), p AS (SELECT a.doc * 10 + a.ord AS node, (SELECT a.doc * 10 + max(b.ord) FROM s b WHERE b.doc = a.doc AND b.ord < a.ord AND b.level < a.level) AS up FROM s a),
+@query(f"""WITH RECURSIVE s AS ({SECTIONS}), p AS (SELECT a.ord AS node, (SELECT max(b.ord) FROM s b WHERE b.doc = a.doc AND b.ord < a.ord AND b.level < a.level) AS up FROM s a),
 r AS (SELECT node, node AS root, 0 AS depth FROM p UNION ALL SELECT r.node, p.up, depth + 1 FROM r JOIN p ON p.node = r.root WHERE p.up IS NOT NULL)
 SELECT node, arg_max(root, depth) AS root, max(depth)::INT AS depth FROM r GROUP BY node""")
 def major_section(t):
-    s = sections(t).withColumn("node", F.col("doc") * 10 + F.col("ord"))
+    s = sections(t).withColumn("node", F.col("ord"))
     return S.roots(S.section_parents(s, "doc", "ord", "level", "node"), "node", "parent_id")
 
 
