@@ -143,7 +143,8 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -
             d = np.arange(k)
             at, r, c = block[d, d], row[:k], col[:k]
             gain += xlogx(at + r + c + twice) - xlogx(at + r) - xlogx(at + c) + xlogx(at)
-            sums_r, sums_c = table.sum(axis=1)[:k], table.sum(axis=0)[:k]
+            # Counts between w and a class belong to that class's sums wherever w goes.
+            sums_r, sums_c = table.sum(axis=1)[:k] + c, table.sum(axis=0)[:k] + r
             n_r, n_c = row.sum() + twice, col.sum() + twice
             gain -= xlogx(sums_r + n_r) - xlogx(sums_r) + xlogx(sums_c + n_c) - xlogx(sums_c)
             best = int(np.argmax(gain))
