@@ -324,8 +324,9 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head_words: int = H
     spark = docs.sparkSession
     path = workspace(spark, "brown")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _training().alias("training"))
-    blocks_of(docs).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blocks")
-    blocks = spark.read.parquet(f"{path}/blocks")
+    numbered = blocks_of(docs)
+    numbered.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(numbered.schema).parquet(f"{path}/blocks")
     own = blocks.filter("kind = 'word'").select("block", "word", "local", "n")
     vocabulary = stored(own.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), f"{path}/vocabulary", free=True)
     sums = vocabulary.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
