@@ -169,32 +169,36 @@ def by_differences(rest: DataFrame, docs: DataFrame, width: int, percent: int, p
     similar to c are of one component, one of the two isn't: |D(y)| > r (|y| + |c|).  So at least
     t = (|D(x)| + r (|c| - |x|)) / 2 elements are shared, and one of the |D(x)| - t + 1 rarest of D(x) is in D(y).
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_()), ("rarest", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_()), ("rarest", pa.int64()), ("n", pa.int64()), ("elements", pa.list_(pa.int64()))])
     less, more = 100 - percent, 100 + percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near, rarest, elements = [], [], []
+            near, rarest, sizes, elements = [], [], [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 c, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 d = np.setxor1d(c, y, assume_unique=True)
                 near.append(len(d) * more <= less * (len(c) + len(y)))
                 rarest.append(len(d) - max(1, -(-(more * len(d) + less * (len(c) - len(y))) // (2 * more))) + 1)
+                sizes.append(len(y))
                 elements.append(d.view(np.int64))
-            yield batch(schema, [b.column(0), b.column(1), near, rarest, elements])
+            yield batch(schema, [b.column(0), b.column(1), near, rarest, sizes, elements])
 
     duos = stored(rest.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), f"{path}-duos")
-    diffs = stored(arrow_map(with_sets(duos, docs, width, path), run, "a long, b long, near boolean, rarest long, elements array<long>"), f"{path}-diffs", "none")
+    diffs = stored(arrow_map(with_sets(duos, docs, width, path), run, "a long, b long, near boolean, rarest long, n long, elements array<long>"), f"{path}-diffs", "none")
     labels = rest.select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "component").distinct()
-    rows = stored(diffs.join(labels, ["a", "b"]).select("a", "b", "near", "rarest", "component", F.explode("elements").alias("e")), f"{path}-elements")
-    counted = rows.join(rows.groupBy("a", "e").agg(F.count("*").alias("n")), ["a", "e"]).filter("n > 1")
-    # Elements of one set only match nothing, but are its rarest.
-    alone = diffs.select("a", "b", F.size("elements").alias("size"))
-    first = counted.join(alone, ["a", "b"]).withColumn("left", F.count("*").over(Window.partitionBy("a", "b")))
-    first = first.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "e")) + F.col("size") - F.col("left")).filter("place <= rarest")
-    x = first.select("a", "e", F.col("b").alias("p"), F.col("component").alias("cp"))
-    y = rows.filter("NOT near").select("a", "e", F.col("b").alias("q"), F.col("component").alias("cq"))
-    pairs = x.join(y, ["a", "e"]).filter("cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    rows = stored(diffs.join(labels, ["a", "b"]).select("a", "b", "near", "rarest", "n", "component", F.size("elements").alias("d"), F.explode("elements").alias("e")), f"{path}-elements")
+    shared = rows.groupBy("a", "e").agg(F.count("*").alias("times")).filter("times > 1")
+    # Places by rarity; elements of one set only match nothing and come first.
+    met = rows.join(shared, ["a", "e"]).withColumn("left", F.count("*").over(Window.partitionBy("a", "b")))
+    placed = met.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "e")) + F.col("d") - F.col("left"))
+    placed = stored(placed.select("a", "e", "b", "near", "rarest", "n", "component", "d", "place"), f"{path}-placed")
+    x = placed.filter("place <= rarest").select("a", "e", *(F.col(c).alias(f"{c}_x") for c in ("b", "n", "component", "d", "place")))
+    y = placed.filter("NOT near").select("a", "e", *(F.col(c).alias(f"{c}_y") for c in ("b", "n", "component", "d", "place")))
+    # From their first shared element on, two differences can share no more than what is left of either.
+    most = 1 + F.least(F.col("d_x") - F.col("place_x"), F.col("d_y") - F.col("place_y"))
+    enough = most * (2 * more) >= (F.col("d_x") + F.col("d_y")) * more - (F.col("n_x") + F.col("n_y")) * less
+    pairs = x.join(y, ["a", "e"]).filter((F.col("component_x") != F.col("component_y")) & enough).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b"))
     own = diffs.filter("near AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.union(own).distinct()
 
