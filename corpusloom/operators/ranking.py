@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +40,122 @@ def bm25(index: DataFrame, doc: str, queries: DataFrame, query: str, text: str,
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+WORD, TOKEN = re.compile(r"\w+"), re.compile(r"[\w-]{2,}")
+#: Candidate rows that a task holds before it cuts them to the best of each query; tokens whose query words it remembers.
+HELD, REMEMBERED = 1_000_000, 300_000
+
+
+def by_word(words: list[set[str]]) -> tuple[dict[str, int], list[np.ndarray]]:
+    """Numbers of all words, and for each word the queries that have it."""
+    index: dict[str, int] = {}
+    of: list[list[int]] = []
+    for q, own in enumerate(words):
+        for w in sorted(own):
+            if index.setdefault(w, len(index)) == len(of):
+                of.append([])
+            of[index[w]].append(q)
+    return index, [np.array(x, np.int64) for x in of]
+
+
+class Held:
+    """The k best (score, document) of each query among the rows seen so far; of equal scores the smaller document."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least, self.rows, self.parts = k, np.zeros(queries), 0, []
+
+    def add(self, doc: int, scores: np.ndarray) -> None:
+        q = np.flatnonzero((scores > 0) & (scores >= self.least))
+        if len(q):
+            self.parts.append((q, scores[q], np.full(len(q), doc, np.int64)))
+            self.rows += len(q)
+            if self.rows > max(HELD, 2 * self.k * len(self.least)):
+                self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        q, score, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((doc, -score, q))
+        q, score, doc = q[order], score[order], doc[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.least[q[last]] = score[last]
+        kept = place < self.k
+        self.parts, self.rows = [(q[kept], score[kept], doc[kept])], int(kept.sum())
+        return self.parts[0]
+
+
+def best_documents(docs: DataFrame, within: DataFrame, queries: DataFrame, k: int, channels: tuple[str, ...] = ("lexical", "confirmed_knowledge")) -> DataFrame:
+    """The k best documents of each query by each channel: query_id, doc_id, channel, score, rank.
+
+    ``lexical`` is BM25 with the statistics of ``docs``; ``confirmed_knowledge`` counts the query's words that
+    a text contains.  Every row of ``within``, a part of ``docs``, is scored for every query; each task hands on
+    its own k best, of which the whole's are a part.  Queries(query_id, query) go to the tasks, documents are not shuffled.
+    """
+    asked = queries.select("query_id", "query").collect()
+    terms, with_term = by_word([set(WORD.findall((r["query"] or "").lower())) for r in asked])
+    names, with_name = by_word([{w.casefold() for w in TOKEN.findall(r["query"] or "")} for r in asked])
+    lexical, known = "lexical" in channels, "confirmed_knowledge" in channels
+    n, average, idf = 0, 1.0, np.zeros(len(terms))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows, length = np.zeros(len(terms), np.int64), 0, 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words = WORD.findall((text or "").lower())
+                rows, length = rows + bool(words), length + len(words)
+                df[[terms[w] for w in set(words) if w in terms]] += 1
+        yield pa.RecordBatch.from_pydict({"term": np.arange(-2, len(terms), dtype=np.int64), "n": np.concatenate([[rows, length], df])})
+
+    if lexical:
+        found = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        n = found.get(-2, 0)
+        average = found.get(-1, 0) / n if n else 1.0
+        df = np.array([found.get(i, 0) for i in range(len(terms))], float)
+        idf = np.maximum(1e-6, np.log((n - df + 0.5) / (df + 0.5)))
+    kind = dict(queries.dtypes)["query_id"]
+    ids = [r["query_id"] for r in asked]
+    lengths = sorted({len(w) for w in names})
+    odd = [(w, i) for w, i in names.items() if not TOKEN.fullmatch(w)]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = {c: Held(len(ids), k) for c, on in (("lexical", lexical), ("confirmed_knowledge", known)) if on}
+        inside: dict[str, list[int]] = {}
+
+        def names_in(token: str) -> list[int]:
+            if token not in inside:
+                if len(inside) > REMEMBERED:
+                    inside.clear()
+                inside[token] = [*{names[w] for size in lengths for i in range(len(token) - size + 1) if (w := token[i : i + size]) in names}]
+            return inside[token]
+
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if lexical:
+                    words = WORD.findall((text or "").lower())
+                    own, tf = np.unique(np.array([terms[w] for w in words if w in terms], np.int64), return_counts=True)
+                    if len(own):
+                        part = idf[own] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / average))
+                        at = [with_term[i] for i in own]
+                        tops["lexical"].add(doc, np.round(np.bincount(np.concatenate(at), np.repeat(part, [len(x) for x in at]), len(ids)), 6))
+                if known:
+                    # A word of word characters lies in one of the text's tokens.
+                    low = (text or "").casefold()
+                    own = {i for t in set(TOKEN.findall(low)) for i in names_in(t)} | {i for w, i in odd if w in low}
+                    if own:
+                        tops["confirmed_knowledge"].add(doc, np.bincount(np.concatenate([with_name[i] for i in own]), minlength=len(ids)).astype(float))
+        for channel, top in tops.items():
+            q, s, doc = top.best()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], types), pa.array(doc), pa.array([channel] * len(q), pa.string()), pa.array(s)], names=["query_id", "doc_id", "channel", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = to_arrow_type(queries.schema["query_id"].dataType)
+    every = within.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, f"query_id {kind}, doc_id long, channel string, score double")
+    order = Window.partitionBy("query_id", "channel").orderBy(F.desc("score"), "doc_id")
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def positional_score(query_rank: Column, rank: Column, limit: int) -> Column:
     return 1.0 / (1 + query_rank * limit * 2 + rank)
 

@@ -11,11 +11,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ranking as K
 from corpusloom.operators import relational as R
+from corpusloom.operators import sequence as S
 
 # Channels of each profile and cues of the scope rules.
 CHANNELS = {
@@ -94,22 +95,24 @@ class Engine:
     def cache_key(self, query: str, plan: Plan, snapshots: list[str]) -> str:
         return hashlib.sha256("\x1f".join([query, repr(plan), *sorted(snapshots)]).encode()).hexdigest()
 
-    def query(self, queries: DataFrame, profile: str = "truth", scope: Scope | None = None, plan: Plan | None = None) -> DataFrame:
-        """queries(query_id, query) -> query_id, rank, evidence_id, doc_id, source, channels, score, text."""
+    def query(self, queries: DataFrame, profile: str = "truth", scope: Scope | None = None, plan: Plan | None = None, others: dict[str, DataFrame] | None = None) -> DataFrame:
+        """queries(query_id, query) -> query_id, rank, evidence_id, doc_id, source, channels, score, text.
+
+        The lexical and confirmed-knowledge channels score every document in scope.  ``others`` holds ranked lists
+        (query_id, doc_id, rank) of channels that need more than documents: query vectors, a graph, summaries.
+        """
         plan, scope = plan or Plan(profile), scope or Scope()
         docs = self.spark.read.parquet(f"{self.folder}/documents.parquet")
         chunks = R.within_scope(docs, "source", list(scope.sources), list(scope.work_set), list(scope.excluded)) if scope != Scope() else docs
-        index = K.postings(docs, "doc_id", "text")
-        best = K.bm25(index, "doc_id", queries, "query_id", "query", 2 * plan.pool)
-        terms = queries.select("query_id", F.array_distinct(F.split(F.lower("query"), r"\s+")).alias("words"))
-        found = best.select("query_id", "doc_id", F.lit("lexical").alias("channel"), "rank")
-        named = best.join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(terms), "query_id")
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id")
-        known = named.withColumn("n", K.contained_words(F.col("words"), F.col("text"))).withColumn("rank", F.row_number().over(order)).select("query_id", "doc_id", F.lit("confirmed_knowledge").alias("channel"), "rank")
-        hits = found.union(known).join(chunks.select("doc_id"), "doc_id", "left_semi")
+        hits = K.best_documents(docs, chunks, queries, 2 * plan.pool, plan.channels).select("query_id", "doc_id", "channel", "rank")
+        for channel, ranked in (others or {}).items():
+            if channel in plan.channels:
+                own = ranked.join(chunks.select("doc_id"), "doc_id", "left_semi")
+                again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id"))
+                hits = hits.union(own.select("query_id", "doc_id", F.lit(channel), again.alias("rank")).filter(F.col("rank") <= 2 * plan.pool))
         pool = K.weighted_rrf(hits, "query_id", "doc_id", "channel", "rank", plan.weights).filter(F.col("rank") <= plan.pool)
-        rows = pool.join(docs, "doc_id")
-        top = K.capped(rows, "query_id", "source", "rank", plan.per_document(), plan.top_k)
-        return top.select("query_id", F.col("final_rank").alias("rank"), F.concat(F.lit("evidence:"), "doc_id").alias("evidence_id"), "doc_id", "source", "channels", F.col("fused").alias("score"), F.left("text", F.lit(3000)).alias("text"))
+        rows = pool.join(docs.select("doc_id", "source", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
+        cands = rows.select("query_id", "query", F.col("rank").alias("pos"), F.col("doc_id").alias("cand_id"), F.col("source").alias("doc_id"), F.col("doc_id").alias("section_id"), F.lit(0.0).alias("score"), "text")
+        top = S.diversified(cands, "query_id", plan.top_k, plan.per_document(work_set=len(scope.work_set)), 2, aspects=lambda said: re.findall("[a-z0-9]+", (said or "").casefold()), seed=plan.profile != "truth", said="query")
+        chosen = top.select("query_id", F.col("cand_id").alias("doc_id"), F.col("rank").alias("final_rank")).join(rows, ["query_id", "doc_id"])
+        return chosen.select("query_id", F.col("final_rank").alias("rank"), F.concat(F.lit("evidence:"), "doc_id").alias("evidence_id"), "doc_id", "source", "channels", F.col("fused").alias("score"), F.left("text", F.lit(3000)).alias("text"))

@@ -116,3 +116,27 @@ def test_files(spark, tmp_path):
     assert tables.read_items(spark, f"file://{tmp_path}/i.json").count() == 1
     names = spark.createDataFrame([("ok/a.txt",), ("../b",), ("C.md",), ("c.md",)], "name string")
     assert {r.name for r in tables.unsafe_members(names, "name").collect()} == {"../b", "C.md", "c.md"}
+
+
+def test_engine_scores_every_document_in_scope(spark, tmp_path):
+    from corpusloom.operators import ranking
+    from corpusloom.plans.engine import Engine
+
+    # Long texts of other works fill BM25's list; "subalphabet" holds the query's word, though not as a word.
+    rows = [(i, "alpha beta " * 3, f"w{i % 50}") for i in range(300)] + [(900, "alpha " + "filler " * 200, "mine"), (901, "subalphabet betas alpha-beta-gamma", "mine"), (902, None, "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    queries = spark.createDataFrame([(n, "alpha gamma alpha beta") for n in range(7)], "query_id long, query string")
+    engine = Engine(spark, f"file://{tmp_path}")
+    out = engine.query(queries, "comprehensive", Scope(sources=("mine",))).collect()
+    assert {r.query_id for r in out} == set(range(7)) and {r.doc_id for r in out} == {900, 901}
+    assert {r.doc_id: r.channels for r in out}[901] == "confirmed_knowledge,lexical"
+    every = ranking.best_documents(docs, docs, queries, 80)
+    ours = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in every.filter("channel = 'lexical'").collect())
+    theirs = ranking.bm25(ranking.postings(docs, "doc_id", "text"), "doc_id", queries, "query_id", "query", 80)
+    assert ours == sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in theirs.collect())
+    first = every.filter("channel = 'confirmed_knowledge' AND query_id = 3 AND rank = 1").first()
+    assert (first.doc_id, first.score) == (901, 3.0)
+    graph = spark.createDataFrame([(3, 902, 1), (3, 5, 2)], "query_id long, doc_id long, rank int")
+    more = engine.query(queries, "comprehensive", Scope(sources=("mine",)), others={"graph": graph}).filter("query_id = 3").collect()
+    assert {r.doc_id: r.channels for r in more}[902] == "graph" and len(more) == 3
