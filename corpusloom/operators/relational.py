@@ -86,11 +86,19 @@ def unique_prefixes(titles: DataFrame, doc: str, title: str, least_words: int =
 def mentions(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, doc: str, widest: int = 8) -> DataFrame:
     """(text_id, doc) where a text holds a phrase at word boundaries.
 
-    Texts are cut into word n-grams up to the longest phrase, which join phrases by equality.
+    Texts are cut into word n-grams of up to ``widest`` words, which meet phrases by equality; of a longer
+    phrase the first ``widest`` words meet them, and the rest is then compared.
     """
     w = texts.select(text_id, T.scope_tokens(F.col(text)).alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(widest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    return w.select(text_id, F.explode(F.array_distinct(grams)).alias("phrase")).join(phrases, "phrase").select(text_id, doc).distinct()
+    sizes = F.sequence(F.lit(1), F.lit(widest))
+    grams = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    whole = phrases.select(doc, F.split("phrase", " ").alias("all")).select(doc, "all", F.array_join(F.slice("all", 1, widest), " ").alias("phrase"))
+    found = w.select(text_id, F.explode(F.array_distinct(grams)).alias("phrase")).join(whole, "phrase")
+    short = found.filter(F.size("all") <= widest).select(text_id, doc)
+    # Candidates of long phrases are few; they take their texts' words again, so that no gram carries a text.
+    long_ = found.filter(F.size("all") > widest).select(text_id, doc, "all").distinct().join(w, text_id)
+    held = T.contains_phrase(F.array_join("w", " "), F.array_join("all", " "))
+    return short.union(long_.filter(held).select(text_id, doc)).distinct()
 
 
 def violations(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
