@@ -15,6 +15,7 @@ model that adds nothing); extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 from collections.abc import Iterator
@@ -30,7 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents that the CRF learns from: those with digits or at signs, first by a hash of their id.
 SAMPLE_DOCS = 3000
-ROUNDS, SURE = 8, 0.9
+#: Messages have settled when none moves further than this; after so many rounds, or four for each token, steps are halved.
+SETTLED, PATIENCE, SURE = 1e-4, 200, 0.9
 
 # Patterns of base spans.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -160,8 +162,18 @@ class Graph:
     """Tokens of a document with their features, chain edges and skip edges."""
 
     def __init__(self, text: str, spans: dict[str, list[Span]]):
-        self.at = tokens(text)
-        words = [text[a:b] for a, b in self.at]
+        at = tokens(text)
+        self.build(at, [text[a:b] for a, b in at], spans)
+
+    @classmethod
+    def of(cls, at: list[Span], words: list[str], spans: dict[str, list[Span]]) -> Graph:
+        """The graph of a text's tokens, without the text."""
+        graph = cls.__new__(cls)
+        graph.build(at, words, spans)
+        return graph
+
+    def build(self, at: list[Span], words: list[str], spans: dict[str, list[Span]]) -> None:
+        self.at = at
         joint = [i for i in range(len(words) - 1) if self.at[i + 1][0] - self.at[i][1] <= 2]
         self.features = [shape(w) for w in words]
         for i in joint:
@@ -202,18 +214,19 @@ class SkipChainCrf:
         y = np.concatenate([g.known for g in graphs]) if graphs else np.zeros(0, np.int64)
         if not len(y):
             return model
-        rows, cols, chain, skip, base = [], [], [], [], 0
+        # Tokens with the same features share a row of x.
+        alike: dict[tuple[str, ...], int] = {}
+        own, chain, skip, base = [], [], [], 0
         for g in graphs:
-            for i, fs in enumerate(g.features):
-                rows += [base + i] * len(fs)
-                cols += [model.index[f] for f in fs]
+            own += [alike.setdefault(tuple(fs), len(alike)) for fs in g.features]
             chain += [(base + a, base + b) for a, b in g.chain]
             skip += [(base + a, base + b) for a, b in g.skip]
             base += len(g.features)
-        rows, cols = np.array(rows), np.array(cols)
+        own = np.array(own)
         k, n = len(LABELS), len(y)
-        x = np.zeros((n, len(model.index)), np.float32)
-        x[rows, cols] = 1
+        x = np.zeros((len(alike), len(model.index)), np.float32)
+        for fs, i in alike.items():
+            x[i, [model.index[f] for f in fs]] = 1
         near = []
         for edges in (chain, skip):
             e = np.array(edges, np.int64).reshape(-1, 2)
@@ -224,13 +237,14 @@ class SkipChainCrf:
         target = np.eye(k)[y]
         sums = [np.full_like(p, 1e-8) for p in (model.unary, model.chain, model.skip)]
         for _ in range(steps):
-            s = x @ model.unary
+            s = (x @ model.unary)[own]
             for (back, ahead), p in zip(near, (model.chain, model.skip), strict=True):
                 s = s + back @ p + ahead @ p.T
             s -= s.max(axis=1, keepdims=True)
             p = np.exp(s)
             d = target - p / p.sum(axis=1, keepdims=True)
-            grads = [x.T @ d, *(back.T @ d + (ahead.T @ d).T for back, ahead in near)]
+            sums_d = np.stack([np.bincount(own, c, len(alike)) for c in d.T], axis=1)
+            grads = [x.T @ sums_d, *(back.T @ d + (ahead.T @ d).T for back, ahead in near)]
             for param, grad, total in zip((model.unary, model.chain, model.skip), grads, sums, strict=True):
                 grad = grad / n - decay * param / 10
                 total += grad**2
@@ -251,13 +265,22 @@ class SkipChainCrf:
         if len(edges):
             pot = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
             right, left = np.zeros((len(edges), k)), np.zeros((len(edges), k))
-            for _ in range(ROUNDS):
+            step, n_rounds = 0.5, 0
+            while True:
                 belief = own.copy()
                 np.add.at(belief, edges[:, 1], right)
                 np.add.at(belief, edges[:, 0], left)
                 to_right = logsum((belief[edges[:, 0]] - left)[:, :, None] + pot, 1)
                 to_left = logsum((belief[edges[:, 1]] - right)[:, None, :] + pot, 2)
-                right, left = (right + to_right) / 2, (left + to_left) / 2
+                moved = max(np.abs(to_right - right).max(), np.abs(to_left - left).max())
+                right, left = right + step * (to_right - right), left + step * (to_left - left)
+                if moved < SETTLED:
+                    break
+                n_rounds += 1
+                if n_rounds % max(PATIENCE, 4 * n) == 0:
+                    step /= 2  # they swing: damp them more, and let go of those that swing even so
+                    if step < 1e-3:
+                        break
             np.add.at(own, edges[:, 1], right)
             np.add.at(own, edges[:, 0], left)
         own -= own.max(axis=1, keepdims=True)
@@ -271,7 +294,12 @@ def logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return out - out.max(axis=1, keepdims=True)
 
 
-def altered(text: str, spans: dict[str, list[Span]], rng: random.Random) -> tuple[str, dict[str, list[Span]]]:
+def entities(text: str, spans: dict[str, list[Span]]) -> dict[str, list[str]]:
+    """The first three entities of each kind."""
+    return {kind: [text[a:b] for a, b in spans[kind][:3]] for kind in KINDS}
+
+
+def altered(found: dict[str, list[str]], rng: random.Random) -> tuple[str, dict[str, list[Span]]]:
     """A short text that mentions each entity as it is and again in another form, all labelled."""
     parts, marks, at = [], {k: [] for k in KINDS}, 0
 
@@ -283,8 +311,7 @@ def altered(text: str, spans: dict[str, list[Span]], rng: random.Random) -> tupl
         at += len(piece) + 1
 
     for kind in KINDS:
-        for a, b in spans[kind][:3]:
-            whole = text[a:b]
+        for whole in found[kind]:
             digits = NOT_DIGIT.sub("", whole)
             other = {"email": whole.upper(), "ip": whole, "card": ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), "phone": rng.choice([f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}", digits[-10:], whole.lstrip("+")])}[kind]
             for piece, k in ((whole, kind), ("and", None), (str(rng.randrange(100, 9999)), None), ("or", None), (other, kind), ("then", None)):
@@ -293,20 +320,24 @@ def altered(text: str, spans: dict[str, list[Span]], rng: random.Random) -> tupl
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7) -> SkipChainCrf:
-    """Learn from a bounded, documented sample: the first ``sample_docs`` documents with digits or at signs by hash."""
+    """Learn from a bounded, documented sample: all tokens of the first ``sample_docs`` documents with digits or at signs by hash."""
     held = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
-    schema = pa.schema([("snippet", pa.string())])
+    schema = pa.schema([("tokens", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # only tokens and their surroundings go to the driver
-            yield batch(schema, [[" … ".join(t[max(0, a - 30) : e + 30] for a, e in tokens(t)[:40]) for t in b.column(1).to_pylist()]])
+        for b in batches:  # only tokens, their places and the base spans go to the driver
+            rows = []
+            for t in b.column(1).to_pylist():
+                at, spans = tokens(t), base_spans(t)
+                rows.append(json.dumps([at, [t[a:e] for a, e in at], spans, entities(t, spans)]))
+            yield batch(schema, [rows])
 
     rng, graphs = random.Random(seed), []
-    for (text,) in arrow_map(held, run, "snippet string").collect():
-        spans = base_spans(text)
-        graphs.append(Graph(text, spans))
-        if any(spans.values()):
-            graphs.append(Graph(*altered(text, spans, rng)))
+    for (row,) in arrow_map(held, run, "tokens string").collect():
+        at, words, spans, found = json.loads(row)
+        graphs.append(Graph.of(at, words, spans))
+        if any(found.values()):
+            graphs.append(Graph(*altered(found, rng)))
     return SkipChainCrf.train([g for g in graphs if g.at])
 
 

@@ -166,6 +166,24 @@ def test_4_personal_data(spark, none):
     assert pii.find(none, pii.fit(none)).count() == 0
 
 
+def test_4_labels_reach_distant_mentions():
+    text = "call +1 (555) 201-3344 now" + ", later 555-201-3344 it is" * 30
+    spans = pii.base_spans(text)
+    model = pii.SkipChainCrf(["bias"])
+    model.skip = 9 * np.eye(len(pii.LABELS))  # only mentions of the same number speak
+    assert len(pii.added_spans(text, spans, model)["phone"]) == 30
+
+
+def test_4_learns_from_every_token(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii.SkipChainCrf, "train", classmethod(lambda cls, graphs: seen.extend(graphs)))
+    text = " ".join(f"word{i} and" for i in range(70)) + " +1 (555) 201-3344" + " " * 90 + "9.9.9.9"
+    pii.fit(docs_of(spark, [text]))
+    whole = pii.Graph(text, pii.base_spans(text))
+    assert len(whole.at) > 70 and (seen[0].features, seen[0].chain, seen[0].skip) == (whole.features, whole.chain, whole.skip)
+    assert seen[0].known.tolist() == whole.known.tolist() and len(seen) == 2
+
+
 def brute_windows(documents, items):
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     out = {}
