@@ -3,8 +3,9 @@
 P(word | word before) = P(class | class before) * P(word | class).  Exchange clustering finds the
 classes: the most frequent words are moved between classes while that raises the class bigrams'
 mutual information, from counts over the whole corpus; then every other training word moves to
-the class that its own neighbours' classes favour most, one exchange step for each word, made
-in parallel.  Class transitions are smoothed towards class frequencies, and words give up
+the class that its own neighbours' classes favour most, in parallel.  Passes over the whole vocabulary
+follow until the mutual information settles: counts are taken with the classes of all words, the
+frequent words are exchanged on them, and all others move to what the new class table favours.  Class transitions are smoothed towards class frequencies, and words give up
 part of their counts to words that training never saw.
 
 Edge cases: a null or empty text is the end token alone; texts of any length are scored whole;
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, drop, shuffle_count, stored, table, workspace
+from .common import arrow_map, batch, drop, release, shuffle_count, stored, table, workspace
 
 #: Classes; words that are exchanged one by one on the driver, from at most (HEAD + 2)^2 counts; rounds over them.
 CLASSES, HEAD, PASSES = 48, 1000, 6
+#: Passes over the whole vocabulary end when one adds less than this share of the mutual information.
+SETTLED = 1e-3
 #: Count that each word gives up to unseen words of its class.
 DISCOUNT = 0.5
 #: Words a task holds before it hands its counts on; words of one task that assigns classes.
@@ -118,14 +121,16 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the frequent words, and class bigram counts; the last two words keep classes of their own.
 
+    From the classes ``start`` of the frequent words, the symbols after them are all other words by class, and the end.
+
     Each word in turn moves to the class that raises sum f(N(a,b)) - sum f(N(a,.)) - sum f(N(.,b)) most, f(x) = x log x.
     """
-    m = len(counts) - 2
-    k = max(1, min(classes, m))
-    own = np.append(np.arange(m) % k, [k, k + 1])
+    m = len(counts) - 2 if start is None else len(start)
+    k = max(1, min(classes, m)) if start is None else len(counts) - m - 1
+    own = np.append(np.arange(m) % k, [k, k + 1]) if start is None else np.concatenate([start, np.arange(k), [k + 1]])
     hot = np.eye(k + 2)[own]
     table = hot.T @ counts @ hot
     for _ in range(passes):
@@ -161,6 +166,20 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -
     return own[:m], table
 
 
+def favours(table: np.ndarray) -> np.ndarray:
+    """What neighbours speak for: an occurrence after class c, before class d, speaks for class k by log N(c,k) + log N(k,d) - 2 log N(k)."""
+    k = len(table) - 2
+    log = np.log(table + 0.5)
+    norm = np.log(table.sum(axis=1) + 1)[:k]
+    return np.concatenate([log[:, :k] - norm, log[:k].T - norm]).astype(np.float32)
+
+
+def information(table: np.ndarray) -> float:
+    """Mutual information of neighbouring classes in natural units, from their counts."""
+    n = table.sum()
+    return float((xlogx(table).sum() - xlogx(table.sum(axis=0)).sum() - xlogx(table.sum(axis=1)).sum() + xlogx(n)) / n) if n else 0.0
+
+
 def rest_classes(docs: DataFrame, head_class: dict[bytes, int], table: np.ndarray, tasks: int) -> DataFrame:
     """(word, class) of all training words but the frequent ones: each takes the class its neighbours favour."""
     k = len(table) - 2
@@ -194,10 +213,7 @@ def rest_classes(docs: DataFrame, head_class: dict[bytes, int], table: np.ndarra
         if held:
             yield from out()
 
-    # An occurrence after class c, before class d, speaks for class k by log N(c,k) + log N(k,d) - 2 log N(k).
-    log = np.log(table + 0.5)
-    norm = np.log(table.sum(axis=1) + 1)[:k]
-    favour = np.concatenate([log[:, :k] - norm, log[:k].T - norm]).astype(np.float32)
+    favour = favours(table)
     chosen = pa.schema([("word", pa.binary()), ("class", pa.int32())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +243,104 @@ def rest_classes(docs: DataFrame, head_class: dict[bytes, int], table: np.ndarra
     return arrow_map(found, assign, "word binary, class int")
 
 
+# Passes over the whole vocabulary: a frequent word's code is its number, another's is their count and its class
+
+
+def _codes(docs: pa.Table, words: pa.Table, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's training texts as one row of local numbers with -1 at ends, their codes, and where words stand in ``words``."""
+    local = words.column("local").to_numpy()
+    size = int(local.max(initial=-1)) + 1
+    code, row = np.full(size + 1, end, np.int64), np.zeros(size, np.int64)
+    code[local], row[local] = words.column("code").to_numpy(), np.arange(len(local))
+    stop = np.array([-1], np.int32)
+    ids = np.concatenate([stop, *(x for raw in docs.column("ids").to_pylist() for x in (np.frombuffer(raw, np.int32), stop))])
+    return ids, code[ids], row
+
+
+def symbol_bigrams(numbered: DataFrame, placed: DataFrame, m: int, k: int) -> np.ndarray:
+    """Counts of neighbours among the frequent words, the other words by class, and the end: at most (m + k + 1)^2."""
+    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+    size = m + k + 1
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        _, code, _ = _codes(docs, words, size - 1)
+        pair, n = np.unique(code[:-1] * size + code[1:], return_counts=True)
+        return pa.Table.from_arrays([pa.array(pair), pa.array(n)], schema=schema)
+
+    rows = numbered.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size**2)
+    out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def moved(numbered: DataFrame, placed: DataFrame, groups: np.ndarray, table: np.ndarray, tasks: int) -> DataFrame:
+    """``placed`` with each word but the frequent ones in the class that its neighbours' present classes favour."""
+    m, k = len(groups), len(table) - 2
+    end, width = k + 1, 2 * (k + 2)
+    of_code = np.concatenate([groups, np.arange(k), [end]]).astype(np.uint8)
+    around = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("code", pa.int32()), ("around", pa.binary())])
+
+    def contexts(docs: pa.Table, words: pa.Table) -> pa.Table:
+        ids, code, row = _codes(docs, words, m + k)
+        near = of_code[code]
+        tail = np.flatnonzero((code >= m) & (code < m + k))
+        place = row[ids[tail]]
+        order = np.argsort(place, kind="stable")
+        data = np.stack([near[tail - 1], near[tail + 1]], axis=1)[order].tobytes()
+        ends = np.cumsum(np.bincount(place, minlength=len(words))).tolist()
+        blobs = [data[2 * i : 2 * j] for i, j in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+        return pa.Table.from_arrays([*(words.column(c).combine_chunks() for c in ("block", "local", "id", "n", "code")), pa.array(blobs, pa.binary())], schema=around)
+
+    favour = favours(table)
+    out = pa.schema(list(around)[:5])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, values, n = [], [], []
+        for b in batches:
+            ids, blobs = b.column(2).to_numpy(), b.column(5).to_pylist()
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), ids, b.column(3).to_numpy(), b.column(4).to_numpy()))
+            pairs = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 2).astype(np.int64)
+            at = np.repeat(ids, [len(x) // 2 for x in blobs]) * width
+            v, c = np.unique(np.concatenate([at + pairs[:, 0], at + (k + 2) + pairs[:, 1]]), return_counts=True)
+            values.append(v)
+            n.append(c)
+        if not held:
+            return
+        block, local, ids, total, code = (np.concatenate(x) for x in zip(*held, strict=True))
+        values, n = np.concatenate(values), np.concatenate(n)
+        words, word = np.unique(ids, return_inverse=True)
+        at = np.searchsorted(words, values // width) * width + values % width
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        best = np.zeros(len(words), np.int32)
+        for i in range(0, len(words), 20_000):
+            rows = min(20_000, len(words) - i)
+            lo, hi = np.searchsorted(at, [i * width, (i + rows) * width])
+            counts = np.bincount(at[lo:hi] - i * width, n[lo:hi], rows * width).reshape(rows, width).astype(np.float32)
+            best[i : i + rows] = m + np.argmax(counts @ favour, axis=1)
+        yield batch(out, [block, local, ids, total, np.where(code < m, code, best[word]).astype(np.int32)])
+
+    found = numbered.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(contexts, "block long, local int, id long, n long, code int, around binary")
+    return arrow_map(found.repartition(tasks, "id"), assign, "block long, local int, id long, n long, code int")
+
+
+def settle(numbered: DataFrame, placed: DataFrame, groups: np.ndarray, k: int, tasks: int, path: str) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """Passes until the mutual information settles: (placed, classes of the frequent words, information of each pass)."""
+    spark, gains, kept = numbered.sparkSession, [], None
+    while True:
+        new, table = exchange(symbol_bigrams(numbered, placed, len(groups), k), start=groups)
+        gains.append(information(table))
+        release(spark)
+        if kept is not None and gains[-1] < gains[-2]:
+            return kept, groups, gains
+        groups = new
+        if kept is not None:
+            drop(spark, f"{path}/placed-{len(gains) - 2}")
+            if gains[-1] <= gains[-2] * (1 + SETTLED):
+                return placed, groups, gains
+        kept, placed = placed, stored(moved(numbered, placed, groups, table, tasks), f"{path}/placed-{len(gains)}", free=True)
+
+
 # The model
 
 
@@ -327,6 +441,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head_words: int = H
     numbered = blocks_of(docs)
     numbered.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blocks")
     blocks = spark.read.schema(numbered.schema).parquet(f"{path}/blocks")
+    texts = blocks.filter("kind = 'doc'").select("block", "doc_id", "training", "ids")
     own = blocks.filter("kind = 'word'").select("block", "word", "local", "n")
     vocabulary = stored(own.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), f"{path}/vocabulary", free=True)
     sums = vocabulary.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
@@ -337,17 +452,28 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, head_words: int = H
     head_class = {w: int(c) for w, c in zip(head, groups, strict=True)}
     tasks = max(shuffle_count(spark), -(-sums["words"] // WORDS_A_TASK))
     rest = stored(rest_classes(training, head_class, pairs, tasks), f"{path}/rest", free=True)
-    frequent = spark.createDataFrame([(w, c) for w, c in head_class.items()], "word binary, class int")
-    lexicon = stored(vocabulary.join(rest.union(frequent), "word"), f"{path}/lexicon", free=True)
-    drop(spark, f"{path}/rest")
-    k = len(pairs) - 2
+    k, m = len(pairs) - 2, len(head)
+    frequent = spark.createDataFrame([(w, i) for i, w in enumerate(head)], "word binary, code int")
+    codes = rest.select("word", (F.col("class") + m).alias("code")).union(frequent)
+    # Work tables that later steps don't read go as soon as the next is written.
+    lexicon = stored(vocabulary.join(codes, "word").withColumn("id", F.monotonically_increasing_id()), f"{path}/lexicon", free=True)
+    matched = own.select("block", "word", "local").join(lexicon, "word", "left").select("block", "local", "id", "n", "code")
+    matched = stored(matched, f"{path}/placed-0", free=True)
+    unseen = stored(matched.filter("id IS NULL").select("block", "local", F.lit(0).cast("long").alias("n"), F.lit(0).alias("class")), f"{path}/unseen")
+    for name in ("rest", "lexicon", "vocabulary", "blocks/kind=word"):
+        drop(spark, f"{path}/{name}")
+    placed = matched.filter("id IS NOT NULL")
+    if sums["words"] > m:  # else every word has been exchanged already
+        placed, groups, _ = settle(texts.filter("training").select("block", "ids"), placed, groups, k, tasks, path)
+    group = F.array(*[F.lit(int(g)) for g in groups]) if m else F.array(F.lit(0))
+    own_class = F.when(F.col("code") < m, F.get(group, F.col("code"))).otherwise(F.col("code") - m).alias("class")
     totals, sizes = np.zeros(k), np.zeros(k)
-    for r in lexicon.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+    words = placed.groupBy("id").agg(F.first("n").alias("n"), F.first("code").alias("code"))
+    for r in words.select("n", own_class).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         totals[r["class"]], sizes[r["class"]] = r["n"], r["words"]
     model = ClassModel(sums["tokens"] + ends, sums["words"] + (ends > 0), ends, totals, sizes)
-    matched = own.select("block", "word", "local").join(lexicon, "word", "left")
-    dictionary = stored(matched.select("block", "local", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(0)).alias("class")), f"{path}/dictionary", free=True)
-    encoded = stored(encode(blocks.filter("kind = 'doc'").select("block", "doc_id", "training", "ids"), dictionary, model), f"{path}/encoded", free=True)
+    dictionary = placed.select("block", "local", "n", own_class).union(unseen)
+    encoded = stored(encode(texts, dictionary, model), f"{path}/encoded", free=True)
     model.fit_transitions(transitions(encoded, k))
     return add_scores(encoded, model)
 

@@ -113,6 +113,36 @@ def test_2_exchange_finds_classes():
     assert len(set(own[:3])) == 1 and len(set(own[3:])) == 1 and own[0] != own[3]
 
 
+def test_2_all_words_are_exchanged(spark, tmp_path):
+    # Two kinds of words take turns, and only "the" is frequent: tail words meet tail words alone.
+    rng = random.Random(4)
+    kinds = [[f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]]
+    texts = [" ".join(["the"] * 3 + [rng.choice(kinds[j % 2]) for j in range(60)]) for _ in range(200)]
+    docs = docs_of(spark, texts).select("doc_id", "text", F.lit(True).alias("training"))
+    numbered = brown_lm.blocks_of(docs)
+    numbered.write.partitionBy("kind").parquet(f"file://{tmp_path}/blocks")
+    blocks = spark.read.schema(numbered.schema).parquet(f"file://{tmp_path}/blocks")
+    words = sorted({w for t in texts for w in t.split()} - {"the"})
+    # Classes to start from: a third of the words are in the wrong one.
+    start = {w: 1 + (w[0] == "b") if i % 3 else 1 + (w[0] == "a") for i, w in enumerate(words)}
+    lexicon = spark.createDataFrame([(b"the", 0, 0)] + [(w.encode(), i, 1 + start[w]) for i, w in enumerate(words, 1)], "word binary, id long, code int")
+    blocks.filter("kind = 'word'").join(lexicon, "word").select("block", "local", "id", "n", "code").write.parquet(f"file://{tmp_path}/start")
+    placed = spark.read.parquet(f"file://{tmp_path}/start")
+    training = blocks.filter("kind = 'doc'").select("block", "ids")
+    counts = brown_lm.symbol_bigrams(training, placed, 1, 3)
+    want = np.zeros((5, 5))
+    for t in texts:
+        code = [4, *(0 if w == "the" else 1 + start[w] for w in t.split()), 4]
+        for a, b in zip(code, code[1:]):
+            want[a, b] += 1
+    assert (counts == want).all()
+    out, groups, gains = brown_lm.settle(training, placed, np.array([0]), 3, 2, f"file://{tmp_path}")
+    code = {r.id: r.code for r in out.select("id", "code").distinct().collect()}
+    assert code[0] == 0 and len(code) == 61 and gains == sorted(gains) and gains[-1] > 2 * gains[0]
+    by = {k: {code[i] for i, w in enumerate(words, 1) if w[0] == k} for k in "ab"}
+    assert len(by["a"]) == len(by["b"]) == 1 and by["a"] != by["b"]
+
+
 def test_3_quality(spark, none):
     rng = random.Random(2)
     rows, labels = [], []
