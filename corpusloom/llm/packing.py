@@ -42,7 +42,7 @@ def _byte_of_char() -> dict[str, int]:
 def load_encoder(path: str):
     """A function from a text to its ids, for the byte-level BPE vocabulary at ``path``.
 
-    The strings of special tokens are ordinary text here.
+    Strings of added tokens give those tokens' ids, as the `tokenizers` library does by default.
     """
     import public_tokenizers
     import tiktoken
@@ -52,7 +52,9 @@ def load_encoder(path: str):
         spec = json.load(f)
     special = {t["content"] for t in spec.get("added_tokens", ())}
     ranks = {bytes(of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 class BestFit:

@@ -320,6 +320,18 @@ def test_8_neighbours(spark):
     assert ann.nearest(df.limit(0), lambda c: c % 20 == 0).count() == 0
 
 
+def test_9_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    encode, t = packing.load_encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(9)
+    pieces = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "Don't", "é", "12", "!"]
+    texts = ["a<|endoftext|>b", *("".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(500))]
+    assert 50256 in encode(texts[0])
+    assert [encode(x) for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_9_packing(docs, texts, none):
     from tokenizers import Tokenizer
 
