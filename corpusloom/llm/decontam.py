@@ -1,8 +1,10 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-Token postings of the corpus are stored for the rarest terms of the test windows.  The lists of
-a window's two rarest terms, shifted by the terms' offsets, are intersected; where both agree on a
-start, the posting's neighbouring words decide whether the whole window stands there.
+One pass over the corpus stores the token postings (term, document, position) of every term that test
+windows hold, and an end mark for each document.  Each window's lists are then intersected from its
+rarest term on, shifted by the terms' offsets: the two rarest lists leave candidate starts, and the
+lists of all other terms, read in the candidates' documents alone, must hold every other place.  What
+is left are exact phrase matches; proximity matches come from the same lists.
 
 Edge cases: a null or empty text has no words; an item shorter than a window is one window; an
 item without words has none; repeated documents and items are found each time and positions
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import stored, table, workspace
 
 WINDOW = 10
-#: Test-side tables are broadcast up to so many rows, and joined by shuffle beyond.
-BROADCAST_ROWS = 200_000
+#: Sides of joins are broadcast up to so many counted rows and characters, and joined by shuffle beyond.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 16 << 20
+#: No word is empty, so the empty term can mark ends.
+END = ""
 
 
 def words_of(text: Column) -> Column:
@@ -43,71 +47,72 @@ def test_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a test-side table only if its counted rows stay under the limit."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast a table only if its counted rows and characters stay under the limits."""
+    size = df.agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("chars")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["chars"] or 0) <= BROADCAST_CHARS else df
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences in the whole corpus of each of the terms."""
-    return _tokens(docs).select(F.explode("words").alias("term")).join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+def vocabulary_of(windows: DataFrame) -> DataFrame:
+    """(term, term_id) of every term of the windows, and of the end mark."""
+    terms = windows.select(F.explode("win").alias("term")).distinct().withColumn("term_id", F.monotonically_increasing_id() + 1)
+    return terms.union(windows.sparkSession.createDataFrame([(END, 0)], "term string, term_id long"))
 
 
-def build_postings(docs: DataFrame, terms: DataFrame, reach: int = WINDOW) -> DataFrame:
-    """Postings (term, doc_id, text_hash, pos) with the words up to ``reach`` - 1 places to either side.
+def build_postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Postings (term_id, doc_id, text_hash, pos) of the vocabulary; that of the end mark has the document's length as pos."""
+    words = F.concat(F.coalesce(F.col("words"), F.array().cast("array<string>")), F.array(F.lit(END)))
+    every = _tokens(docs).select("doc_id", "text_hash", F.posexplode(words).alias("pos", "term"))
+    return every.join(_small(vocabulary), "term").select("term_id", "doc_id", "text_hash", "pos")
 
-    ``left`` is the number of words in ``around`` before the term.
+
+def rarest_first(windows: DataFrame, vocabulary: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each distinct window with its places from the rarest term on: win_id, win, places (array of n, term_id, o).
+
+    Windows with a term that the corpus lacks can't occur and are left out.
     """
-    before = F.least(F.col("pos"), F.lit(reach - 1))
-    return (
-        _tokens(docs)
-        .select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term"))
-        .join(_small(terms), "term")
-        .select("term", "doc_id", "text_hash", "pos", before.alias("left"), F.slice("words", F.col("pos") - before + 1, before + F.lit(reach)).alias("around"))
+    own = windows.select("win").distinct().withColumn("win_id", F.monotonically_increasing_id())
+    placed = own.select("win", "win_id", F.posexplode("win").alias("o", "term")).join(vocabulary, "term").join(counts, "term_id", "left")
+    ranked = placed.groupBy("win_id").agg(
+        F.first("win").alias("win"), F.sort_array(F.collect_list(F.struct("n", "term_id", "o"))).alias("places"), F.count("n").alias("known")
     )
+    return ranked.filter(F.col("known") == F.size("win")).select("win_id", "win", "places")
 
 
-def choose_rarest(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each window with its two rarest places: win_id, item_id, win, t1, o1, t2, o2.
+def _starts(postings: DataFrame, chosen: DataFrame, nth: int) -> DataFrame:
+    """Starts of windows that the lists of their ``nth`` rarest terms allow."""
+    place = F.get("places", F.lit(nth))
+    term = chosen.select("win_id", place["term_id"].alias("term_id"), place["o"].alias("o")).filter("term_id IS NOT NULL")
+    found = postings.join(_small(term), "term_id").select("win_id", "doc_id", "text_hash", (F.col("pos") - F.col("o")).alias("start"))
+    return found.filter("start >= 0").distinct()
 
-    Windows with a term that the corpus lacks can't occur and are left out.  In a window of
-    one word both places are the same.
-    """
-    placed = windows.withColumn("win_id", F.xxhash64(F.col("win"))).dropDuplicates(["win"]).select("win", "win_id", F.posexplode("win").alias("o", "term"))
-    ranked = placed.join(counts, "term", "left").groupBy("win", "win_id").agg(
-        F.sort_array(F.collect_list(F.struct("n", "term", "o"))).alias("places"), F.count("n").alias("known")
-    )
-    two = F.least(F.size("places"), F.lit(2))
-    chosen = ranked.filter(F.col("known") == F.size("win")).select(
-        "win", "win_id", F.element_at("places", 1).alias("a"), F.element_at("places", two).alias("b")
-    )
-    return chosen.select("win", "win_id", F.col("a.term").alias("t1"), F.col("a.o").alias("o1"), F.col("b.term").alias("t2"), F.col("b.o").alias("o2"))
 
+def _same(a: DataFrame, b: DataFrame, *names: str):
+    on = F.lit(True)
+    for c in names:
+        on = on & a[c].eqNullSafe(b[c])
+    return on
 
-def phrase_matches(postings: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Exact places of windows: win, doc_id, text_hash, start.
 
-    Lists of the rarest term and of the second rarest, shifted by their offsets, are intersected.
-    """
-    test = _small(chosen)
-    first = (
-        postings.join(test, F.col("term") == F.col("t1"))
-        .filter((F.col("left") >= F.col("o1")) & (F.slice("around", F.col("left") - F.col("o1") + 1, F.size("win")) == F.col("win")))
-        .select("win_id", "win", "doc_id", "text_hash", (F.col("pos") - F.col("o1")).alias("start"))
-    )
-    second = (
-        postings.select("term", "doc_id", "text_hash", "pos")
-        .join(_small(chosen.select("win_id", "t2", "o2")), F.col("term") == F.col("t2"))
-        .select("win_id", "doc_id", "text_hash", (F.col("pos") - F.col("o2")).alias("start"))
-        .distinct()
-    )
-    on = first.win_id.eqNullSafe(second.win_id) & first.doc_id.eqNullSafe(second.doc_id) & first.text_hash.eqNullSafe(second.text_hash) & (first.start == second.start)
-    return first.join(second, on, "left_semi").drop("win_id").distinct()
+def phrase_matches(postings: DataFrame, chosen: DataFrame, path: str) -> DataFrame:
+    """Exact places of windows: win_id, doc_id, text_hash, start."""
+    at = ("win_id", "doc_id", "text_hash", "start")
+    first, second = _starts(postings, chosen, 0), _starts(postings, chosen, 1)
+    both = first.join(second, _same(first, second, *at), "left_semi")
+    single = chosen.filter(F.size("places") == 1).select(F.col("win_id").alias("w"))
+    both = stored(both.union(first.join(_small(single), F.col("win_id") == F.col("w"), "left_semi")), f"{path}/candidates")
+    # What the other terms' lists must hold for a candidate, and what they hold in candidates' documents.
+    others = chosen.select("win_id", F.explode(F.slice("places", 3, F.greatest(F.size("places") - 2, F.lit(1)))).alias("p")).select("win_id", "p.term_id", "p.o")
+    expected = both.join(_small(others), "win_id").select(*at, "term_id", (F.col("start") + F.col("o")).alias("pos"))
+    where = stored(both.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct(), f"{path}/where")
+    held = postings.filter("term_id > 0").join(_small(where), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")), "left_semi").distinct()
+    missing = expected.join(held, _same(expected, held, "doc_id", "text_hash", "pos", "term_id"), "left_anti").select(*at).distinct()
+    return both.join(missing, _same(both, missing, *at), "left_anti")
 
 
-def proximity_matches(postings: DataFrame, term_a: str, term_b: str, slop: int) -> DataFrame:
+def proximity_matches(postings: DataFrame, vocabulary: DataFrame, term_a: str, term_b: str, slop: int) -> DataFrame:
     """Documents in which two indexed terms stand at most ``slop`` places apart."""
-    a = postings.filter(F.col("term") == term_a).select("doc_id", "text_hash", F.col("pos").alias("pos_a"))
-    b = postings.filter(F.col("term") == term_b).select("doc_id", "text_hash", F.col("pos").alias("pos_b"))
+    named = lambda term, name: postings.join(_small(vocabulary.filter(F.col("term") == term)), "term_id").select("doc_id", "text_hash", F.col("pos").alias(name))
+    a, b = named(term_a, "pos_a"), named(term_b, "pos_b")
     # Places are joined by cell of ``slop`` words, so that no document's places are all paired.
     cell = lambda c: F.floor(c / F.lit(max(slop, 1)))
     near = a.withColumn("cell", F.explode(F.array(*[cell(F.col("pos_a")) + d for d in (-1, 0, 1)]))).join(b.withColumn("cell", cell(F.col("pos_b"))), ["doc_id", "text_hash", "cell"])
@@ -119,12 +124,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     spark = docs.sparkSession
     path = workspace(spark, "decontam")
     windows = stored(test_windows(items, window), f"{path}/windows")
-    vocabulary = stored(windows.select(F.explode("win").alias("term")).distinct(), f"{path}/terms")
-    counts = stored(term_counts(docs, vocabulary), f"{path}/counts")
-    chosen = stored(choose_rarest(windows, counts), f"{path}/chosen")
-    needed = chosen.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
-    postings = stored(build_postings(docs, stored(needed, f"{path}/needed"), window), f"{path}/postings")
-    places = stored(phrase_matches(postings, chosen), f"{path}/places")
+    vocabulary = stored(vocabulary_of(windows), f"{path}/terms")
+    postings = stored(build_postings(docs, vocabulary), f"{path}/postings")
+    counts = stored(postings.groupBy("term_id").agg(F.count("*").alias("n")), f"{path}/counts")
+    chosen = stored(rarest_first(windows, vocabulary, counts), f"{path}/chosen")
+    places = stored(phrase_matches(postings, chosen, path).join(_small(chosen.select("win_id", "win")), "win_id").drop("win_id"), f"{path}/places")
     key = ["doc_id", "text_hash"]
     hit = places.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.size("win") - 1)).alias("pos")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
     listed = (
@@ -135,7 +139,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     )
     found = hit.join(listed, (hit.doc_id.eqNullSafe(listed.doc_id)) & hit.text_hash.eqNullSafe(listed.text_hash)).select(hit.doc_id.alias("found_id"), hit.text_hash.alias("found_hash"), "n_hit", "ids")
-    all_docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.greatest(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
+    # The end marks are the documents and their lengths.
+    all_docs = postings.filter("term_id = 0").select("doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
     return all_docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & F.col("text_hash").eqNullSafe(F.col("found_hash")), "left").select(
         "doc_id",

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, brown_lm, cotrain, decontam, html_extract, minhash, packing, pii, rlindex, warc
-from corpusloom.llm.common import workspace
+from corpusloom.llm.common import stored, workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, path string, words string"
 VOCABULARY = ["alpha", "beta", "Gamma", "delta", "éta", "zeta", "42", "x-y", "the", "of"]
@@ -245,8 +245,19 @@ def test_5_decontamination(spark, none):
     assert decontam.decontaminate(docs.union(docs), bench).count() == 2 * len(texts)
     plan = decontam.decontaminate(docs, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    near = decontam.proximity_matches(decontam.build_postings(docs_of(spark, ["alpha x beta", "alpha x x x beta"]), spark.createDataFrame([("alpha",), ("beta",)], "term string")), "alpha", "beta", 2)
+    terms = spark.createDataFrame([("alpha", 1), ("beta", 2)], "term string, term_id long")
+    near = decontam.proximity_matches(decontam.build_postings(docs_of(spark, ["alpha x beta", "alpha x x x beta"]), terms), terms, "alpha", "beta", 2)
     assert [r.doc_id for r in near.collect()] == [0]
+    # Dropping the second list leaves more candidates.
+    windows = decontam.test_windows(bench.filter("item_id = 6"))
+    vocabulary = spark.createDataFrame([(t, i + 1) for i, t in enumerate(sorted({w for r in windows.collect() for w in r.win}))], "term string, term_id long")
+    postings = stored(decontam.build_postings(docs, vocabulary), workspace(spark, "test-postings"))
+    counts = postings.groupBy("term_id").agg(F.count("*").alias("n"))
+    chosen = spark.createDataFrame(decontam.rarest_first(windows, vocabulary, counts).collect(), "win_id long, win array<string>, places array<struct<n:long,term_id:long,o:int>>")
+    first, second = (decontam._starts(postings, chosen, n) for n in (0, 1))
+    at = ["win_id", "doc_id", "text_hash", "start"]
+    both = first.join(second, at, "left_semi")
+    assert decontam.phrase_matches(postings, chosen, workspace(spark, "test-decontam")).count() <= both.count() < first.count()
 
 
 def test_6_html(spark):
