@@ -100,8 +100,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, open_bins: i
     """Pack ``docs(doc_id, text)``; a row per piece, with its token ids if ``with_ids``.
 
     Each scan partition packs on its own in one pass, so nothing is shuffled and memory is bounded by a
-    batch and the open bins.  In a batch, longer items are placed first.  Sequence numbers hold the
-    partition's number in their upper bits.
+    batch and the open bins.  Items are placed online, in the order in which they come, so batches don't
+    matter.  Sequence numbers hold the partition's number in their upper bits.
     """
     schema = OUT.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else OUT
 
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, open_bins: i
                 cut = len(ids) % capacity or min(capacity, len(ids))
                 for n, (i, j) in enumerate(zip([0, *range(cut, len(ids), capacity)], [*range(cut, len(ids), capacity), len(ids)], strict=True)):
                     rows.append([doc, n, i, j - i, zlib.crc32(ids[i:j].tobytes()), 0, 0, *([ids[i:j]] if with_ids else [])])
-            for r in sorted(rows, key=lambda r: -r[3]):
+            for r in rows:
                 r[5], r[6] = fit.place(r[3])
             if rows:
                 yield batch(schema, [list(c) for c in zip(*rows, strict=True)])
