@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, workspace
+from .common import release, table, workspace
 
 # Digits of Spark's base-32 conversion and those of RFC 4648 for the same numbers.
 DIGITS_32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -98,27 +98,41 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def header_field(header: Column, name: str) -> Column:
+    """The value of a named field of a record's header text, null where there is none."""
+    return F.nullif(F.regexp_extract(header, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1), F.lit(""))
+
+
 def archive_report(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record, with length and SHA-1 computed anew from the stored payload.
+    """A row per record, read from its rebuilt bytes.
 
-    Payloads are read, checked and measured before the join, so no payload is shuffled.
+    Type, id and reference are parsed from the stored header; length and SHA-1 are computed anew from the
+    payload that the record leads to; a response's block must have the length and a record the digest that its
+    header tells, else the read fails.
     """
-    measured = read_payloads(spark, path).select(
-        "key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex40(F.sha1("payload")).alias("payload_digest")
-    )
-    return read_headers(spark, path).join(measured, "key").select(
-        F.col("record_id").alias("page_id"),
-        "payload_bytes",
-        "payload_digest",
-        "record_type",
-        "refers_to",
+    text = F.col("header").cast("string")
+    number = lambda name: F.regexp_extract(header_field(text, name), r"<urn:record:(-?\d+)>", 1).try_cast("long")
+    told = read_records(spark, path).select(
+        number("WARC-Record-ID").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32_of_hex40(F.sha1("payload")).alias("payload_digest"),
+        header_field(text, "WARC-Type").alias("record_type"),
+        number("WARC-Refers-To").alias("refers_to"),
+        header_field(text, "WARC-Payload-Digest").alias("told_digest"),
+        header_field(text, "Content-Length").cast("long").alias("told_length"),
+        (F.octet_length("record") - F.octet_length("header") - 4).cast("long").alias("block_length"),
         F.octet_length("header").cast("long").alias("header_bytes"),
     )
+    sound = (F.col("told_digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.col("told_length") == F.col("block_length"))
+    return told.withColumn(
+        "record_type", F.when(F.coalesce(sound, F.lit(False)), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))).cast("string"))
+    ).drop("told_digest", "told_length", "block_length")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
+    release(spark)  # the shuffle files of writing go before records are rebuilt
     return archive_report(spark, path).drop("header_bytes")
 
 
