@@ -10,7 +10,8 @@ hold, for a text position, the position before it in suffix order and the length
 Matching statistics stream from these samples along the text, one byte shorter for each step, so
 samples of at least ``LENGTH`` bytes mark all long matches, at both of their ends.
 
-An anchor with more stretches than a block may hold is settled by counting its windows' hashes.
+An anchor with more stretches than a block may hold is settled by counting its windows' 128-bit digests, which
+are aggregated before they meet, so that a passage that a third of all documents share crowds no task.
 
 Edge cases: a null or empty text has no bytes; texts of any length are read whole; rows that
 repeat a document are each an occurrence; matches never cross documents; an empty table
@@ -86,7 +87,7 @@ def stretches(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM
     return grams[pos], of(pos - half, pos), of(pos + gram, pos + gram + half), pos, first, last
 
 
-STRETCH = pa.schema([("fp", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+STRETCH = pa.schema([("fp", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("whole", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
 def all_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -103,12 +104,12 @@ def all_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     continue
                 fp, left, right, _, first, last = stretches(raw, powers, length, gram)
                 view = memoryview(raw)
-                whole = np.array([xxhash.xxh3_64_intdigest(view[a : z + length]) for a, z in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
-                parts.append((fp.view(np.int64), left.view(np.int64), right.view(np.int64), whole.view(np.int64), pa.repeat(pa.scalar(doc, pa.int64()), len(fp)), np.full(len(fp), text_hash), first.astype(np.int32), last.astype(np.int32)))
+                whole = pa.array([xxhash.xxh3_128_digest(view[a : z + length]) for a, z in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+                parts.append((fp.view(np.int64), left.view(np.int64), right.view(np.int64), whole, pa.repeat(pa.scalar(doc, pa.int64()), len(fp)), np.full(len(fp), text_hash), first.astype(np.int32), last.astype(np.int32)))
             if parts:
                 yield batch(STRETCH, [pa.concat_arrays(x) if isinstance(x[0], pa.Array) else np.concatenate(x) for x in zip(*parts, strict=True)])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text")), run, "fp long, left long, right long, whole long, doc_id long, text_hash long, first int, last int")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text")), run, "fp long, left long, right long, whole binary, doc_id long, text_hash long, first int, last int")
 
 
 # The index of a block
@@ -213,9 +214,9 @@ def indexed_spans(pieces: DataFrame, length: int, blocks: int) -> DataFrame:
     return pieces.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks))).groupBy("block").applyInArrow(run, SPAN_SQL)
 
 
-def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many stretches: windows that share a hash."""
-    schema = pa.schema([("key", pa.int64()), *SPAN])
+def counted_spans(pieces: DataFrame, length: int, path: str) -> DataFrame:
+    """The same for anchors with very many stretches: windows that share a 128-bit digest."""
+    schema = pa.schema([("key", pa.binary()), *SPAN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -224,11 +225,13 @@ def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
             doc, text_hash, first, body = (b.column(b.schema.names.index(c)).to_pylist() for c in ("doc_id", "text_hash", "first", "body"))
             for d, h, f, x in zip(doc, text_hash, first, body, strict=True):
                 m = range(len(x) - length + 1)
-                keys = np.array([xxhash.xxh3_64_intdigest(x[i : i + length]) for i in m], np.uint64).view(np.int64)
+                view = memoryview(x)
+                keys = pa.array([xxhash.xxh3_128_digest(view[i : i + length]) for i in m], pa.binary())
                 yield batch(schema, [keys, pa.repeat(pa.scalar(d, pa.int64()), len(m)), [h] * len(m), [f + i for i in m], [f + i + length for i in m]])
 
-    rows = arrow_map(pieces, run, f"key long, {SPAN_SQL}")
-    again = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rows = stored(arrow_map(pieces, run, f"key binary, {SPAN_SQL}"), f"{path}/windows")
+    # Counts are a table of their own, so that the join's skewed keys can be split.
+    again = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), f"{path}/windows-again")
     return rows.join(again, "key", "left_semi").select("doc_id", "text_hash", "start", "end")
 
 
@@ -237,7 +240,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spark = docs.sparkSession
     path = workspace(spark, "rlindex")
     every = stored(all_stretches(docs, length, gram), f"{path}/stretches")
-    again = lambda df, *cols: df.groupBy(*cols).agg(F.count("*").alias("n")).filter("n > 1").select(*cols)
+
+    def again(df: DataFrame, *cols: str) -> DataFrame:
+        """Keys that occur more than once, as a table of their own: a join with it can split crowded keys."""
+        return stored(df.groupBy(*cols).agg(F.count("*").alias("n")).filter("n > 1").select(*cols), f"{path}/again-{'-'.join(cols)}")
+
     shared = stored(every.join(again(every, "fp"), "fp", "left_semi"), f"{path}/shared", free=True)
     whole = shared.groupBy("fp", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "first", "last", "left", "right")).alias("one"))
     whole = stored(whole, f"{path}/whole")
@@ -269,7 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     pieces = stored(arrow_map(joined, cut, "fp long, n long, doc_id long, text_hash long, first int, body binary").dropDuplicates(["fp", "doc_id", "text_hash", "first"]), f"{path}/pieces")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     spans = indexed_spans(pieces.filter(F.col("n") <= ANCHOR_MOST), length, max(shuffle_count(spark), -(-total // BLOCK)))
-    spans = spans.union(counted_spans(pieces.filter(F.col("n") > ANCHOR_MOST), length))
+    spans = spans.union(counted_spans(pieces.filter(F.col("n") > ANCHOR_MOST), length, path))
     return full.union(spans)
 
 
