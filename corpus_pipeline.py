@@ -19,9 +19,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
+    """One document of each group of near copies stays: that with the smallest id.
+
+    Rows that repeat both an id and its text are one document; different texts of one id all stay if the id does.
+    """
     stay = minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    own = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    mark = "text_digest"
+    while mark in docs.columns:
+        mark += "_"
+    own = own.withColumn(mark, F.sha2("text", 256)).dropDuplicates(["doc_id", mark]).drop(mark)
+    return own.union(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
