@@ -610,12 +610,16 @@ def frequent(places: DataFrame, most: int) -> list:
     schema = pa.schema([("n", pa.int64()), ("word", pa.binary()), ("part", pa.int32()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[int, bytes, int, int]] = []  # of all parts of the task
         for b in batches:
             for part, n, names in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n, names = np.frombuffer(n, np.int64), names.split(b" ")
                 top = np.lexsort((np.arange(len(n)), -n))[:most]
-                top = top[n[top] > 0].tolist()
-                yield batch(schema, [n[top], [names[i] for i in top], [part] * len(top), top])
+                best += [(-int(n[i]), names[i], part, i) for i in top[n[top] > 0].tolist()]
+                best = sorted(best)[:most]
+        if best:
+            n, word, part, place = zip(*best, strict=True)
+            yield batch(schema, [[-x for x in n], list(word), list(part), list(place)])
 
     rows = arrow_map(places.filter("kind = 'part'").select("part", "n", "spelled"), run, "n long, word binary, part int, place int")
     return rows.orderBy(F.desc("n"), "word").limit(most).collect()
