@@ -5,6 +5,9 @@ pass: blocks left undecided take the label of the nearest decided neighbours in
 Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and reader
 comments are known by their elements or class names and never take part.
 
+In an article a long block without stop words is left to its neighbours, as articles hold such blocks (lists,
+names, words of other languages); outside of one it is rejected.  Pages are read in time proportional to their length.
+
 Edge cases: a null or empty page gives an empty text; unclosed elements, comments and
 references are read as browsers do; repeated pages give equal rows; an empty table gives no rows; extra
 columns are ignored.
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,13 +52,79 @@ CHROME_NAMES = frozenset(
 )
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+PLAIN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>\"'<]*+)>")
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PIECES = re.compile(r"[\s_\-]+")
 
 LONG_WORDS, STOPS_HIGH, STOPS_LOW, LINKS_MOST = 12, 0.20, 0.08, 0.5
 
 
+class Markup:
+    """The tags of a page from left to right; what a search has once not found is not searched again, so the whole takes linear time."""
+
+    def __init__(self, page: str):
+        self.page, lower = page, page.lower()
+        self.lower = lower if len(lower) == len(page) else page.translate(ASCII_LOWER)  # places must agree
+        self.gone: set[str] = set()
+
+    def find(self, what: str, at: int, lower: bool = False) -> int:
+        if what in self.gone:
+            return -1
+        found = (self.lower if lower else self.page).find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the bracket that ends a tag, outside of quotes where these are closed."""
+        i = at
+        while True:
+            end = self.find(">", i)
+            if end < 0:
+                return -1
+            double, single = self.page.find('"', i, end), self.page.find("'", i, end)
+            if double < 0 and single < 0:
+                return end
+            quote, mark = (double, '"') if single < 0 or 0 <= double < single else (single, "'")
+            shut = self.find(mark, quote + 1)
+            if shut < 0:  # a quote that is never closed doesn't count
+                return self.find(">", at)
+            i = shut + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The next tag: where it starts and ends, whether it closes, its name (empty for comments) and attributes."""
+        page = self.page
+        while True:
+            start = self.find("<", at)
+            if start < 0:
+                return None
+            plain = PLAIN.match(page, start)
+            if plain:
+                return start, plain.end(), bool(plain[1]), plain[2].lower(), plain[3]
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), False, "", ""
+            m = TAG.match(page, start)
+            if m or page[start + 1 : start + 2] in ("!", "?"):
+                end = self.tag_end(m.end()) if m else self.find(">", start)
+                if end < 0:
+                    return None
+                return start, end + 1, bool(m and m[1]), m[2].lower() if m else "", page[m.end() : end] if m else ""
+            at = start + 1
+
+    def closing(self, name: str, at: int) -> int:
+        """The end of the closing tag of an element whose content isn't read, or -1."""
+        while (start := self.find(f"</{name}", at, lower=True)) >= 0:
+            after = self.page[start + len(name) + 2 : start + len(name) + 3]
+            if not (after.isalnum() or after in ("-", "_")):
+                end = self.find(">", start)
+                return end + 1 if end >= 0 else -1
+            at = start + 1
+        return -1
+
+
 class Block:
     __slots__ = ("label", "length", "links", "region", "text", "words")
 
@@ -102,28 +172,28 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
             if in_link:
                 links += len("".join(text.split()))
 
-    end = len(page)
+    markup, end, open_ = Markup(page), len(page), Counter()
     while at < end:
-        m = MARKUP.search(page, at)
-        if m is None:
+        tag = markup.next(at)
+        if tag is None:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        start, stop, closing, name, attributes = tag
+        if start > at:
+            say(page[at:start])
+        at = stop
         if not name:
             continue
-        closing = bool(m[1] or m[4])
         if name in SKIPPED and not closing:
-            attributes = m[3] or m[6] or ""
             if name == "head":  # may be left open: ends where the body begins
-                stop = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
-                if stop:
-                    at = stop.end() if page[stop.start() + 1] == "/" else stop.start()
+                shut, body = markup.closing("head", at), markup.find("<body", at, lower=True)
+                if shut >= 0 and (body < 0 or shut <= body):
+                    at = shut
+                elif body >= 0:
+                    at = body
             elif not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else (end if name in ("script", "style", "textarea", "title") else at)
+                shut = markup.closing(name, at)
+                at = shut if shut >= 0 else (end if name in ("script", "style", "textarea", "title") else at)
             continue
         if name == "a":
             in_link = not closing
@@ -136,19 +206,20 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
         if name not in CONTAINERS:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            while open_[name]:
+                gone = stack.pop()[0]
+                open_[gone] -= 1
+                if gone == name:
                     break
         else:
             _, chrome, region = stack[-1]
             inside = region in articles
-            attributes = m[3] or m[6] or ""
             if (name in ("article", "main") or re.search(r"""\brole\s*=\s*["']?main\b""", attributes, re.I)) and not chrome and not inside:
                 regions += 1
                 region = regions
                 articles.add(region)
             stack.append((name, chrome or is_chrome(name, attributes, inside), region))
+            open_[name] += 1
     close()
     return blocks, articles
 
