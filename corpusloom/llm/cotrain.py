@@ -1,10 +1,10 @@
 """Document quality by co-training on two views.
 
-One classifier sees a document's words, the other its metadata (language, source, length, layout).
-Each is fitted on labelled documents; over rounds, each gives the documents of an unlabelled
-pool that it is surest of to the other as training rows.  Both are then calibrated on labelled
-documents held out from training and combined as independent reasons for rejection: a document
-is good with the product of both views' chances of its being good.
+One classifier sees a document's text, its words and their layout; the other its metadata alone, language,
+source and length (n_chars).  The views share no feature.  Each is fitted on labelled documents; over rounds, each
+gives the documents of an unlabelled pool that it is surest of to the other as training rows.  Both are then
+calibrated on labelled documents held out from training and their log odds are added, less those of the
+base rate, as of views that are independent given the class.
 
 A document is bad if its label says low quality or toxic.  Both classifiers are fitted on
 bounded samples (``LABELLED`` and ``POOL`` documents, first by a hash of their id); every document
@@ -47,8 +47,8 @@ def text_features(text: str | None) -> np.ndarray:
     return np.unique(np.array([zlib.crc32(w) % BUCKETS for w in words] + [zlib.crc32(s.encode(), 1) % BUCKETS for s in starts], np.int32))
 
 
-def layout(text: str | None, n_chars: int | None) -> list[float]:
-    """Numbers of the metadata view: length and the shape of the page, whatever its words."""
+def layout(text: str | None) -> list[float]:
+    """Numbers of the text view: the shape of the text, whatever its words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     n = max(len(raw), 1)
     words = raw.split()
@@ -56,7 +56,6 @@ def layout(text: str | None, n_chars: int | None) -> list[float]:
     count = lambda kind: (len(raw) - len(raw.translate(None, kind))) / n
     ends = sum(map(raw.count, (b"!!", b"##", b"%%", b"$$", b"&&", b"**", b" | ")))
     return [
-        math.log1p(n_chars if n_chars is not None else len(text or "")),
         math.log1p(len(lines)),
         math.log1p(n / len(lines)),
         count(UPPER),
@@ -69,7 +68,20 @@ def layout(text: str | None, n_chars: int | None) -> list[float]:
     ]
 
 
-N_LAYOUT = len(layout("", 0))
+def length(n_chars: int | None) -> list[float]:
+    """The number of the metadata view; an unknown length counts as none."""
+    return [math.log1p(max(n_chars or 0, 0))]
+
+
+N_LAYOUT = len(layout(""))
+
+
+def bins(numbers: list[float], edges: list) -> list[int]:
+    return [i * BINS + int(np.searchsorted(e, x)) for i, (e, x) in enumerate(zip(edges, numbers, strict=True))]
+
+
+def quantiles(numbers: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(np.quantile(numbers[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(numbers.shape[1])]
 
 
 def sigmoid(x):
@@ -123,8 +135,11 @@ class Model:
 
     buckets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # sorted
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    layout_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     text_bias: float = 0.0
     edges: list = field(default_factory=list)  # inner bin edges of each layout number
+    length_edges: list = field(default_factory=list)
+    prior: float = 0.0  # log odds of being bad
     categories: dict = field(default_factory=dict)
     meta_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     meta_bias: float = 0.0
@@ -132,61 +147,59 @@ class Model:
     meta_scale: tuple = (1.0, 0.0)
     trained: bool = False
 
-    def meta_row(self, numbers: list[float], lang: str | None, source: str | None) -> np.ndarray:
-        own = [i * BINS + int(np.searchsorted(e, x)) for i, (e, x) in enumerate(zip(self.edges, numbers, strict=True))]
-        first = N_LAYOUT * BINS
-        own += [first + self.categories[k] for k in (("lang", lang), ("source", source)) if k in self.categories]
+    def meta_row(self, n_chars: int | None, lang: str | None, source: str | None) -> np.ndarray:
+        own = bins(length(n_chars), self.length_edges)
+        own += [BINS + self.categories[k] for k in (("lang", lang), ("source", source)) if k in self.categories]
         return np.array(own, np.int64)
 
 
-def fit_views(text_rows, numbers, categories, y, pool_text, pool_numbers, pool_categories) -> Model:
-    """Co-train on labelled rows and an unlabelled pool; the fourth labelled row calibrates."""
+def fit_views(text_rows, layouts, meta, y, pool_text, pool_layouts, pool_meta) -> Model:
+    """Co-train on labelled rows and an unlabelled pool; the fourth labelled row calibrates.
+
+    ``meta`` has (n_chars, lang, source) of each row.
+    """
     m = Model()
     y = np.asarray(y, float)
     hold = np.arange(len(y)) % 4 == 3
     if min(y[~hold].sum(), (1 - y[~hold]).sum()) < 2 or min(y[hold].sum(), (1 - y[hold]).sum()) < 1:
         return m
-    train = np.flatnonzero(~hold)
+    train, held = np.flatnonzero(~hold), np.flatnonzero(hold)
     m.buckets, ratio = telling([text_rows[i] for i in train], y[train])
+    m.edges = quantiles(np.array(layouts)[train])
+    m.length_edges = quantiles(np.array([length(n) for n, _, _ in meta])[train])
+    names = sorted({(k, v) for i in train for k, v in zip(("lang", "source"), meta[i][1:], strict=True) if v is not None})
+    m.categories = {c: i for i, c in enumerate(names)}
 
-    def compact(row):
-        at = np.minimum(np.searchsorted(m.buckets, row), len(m.buckets) - 1)
-        return at[m.buckets[at] == row]
+    def text_row(words, shape):
+        at = np.minimum(np.searchsorted(m.buckets, words), len(m.buckets) - 1)
+        return np.concatenate([at[m.buckets[at] == words], len(m.buckets) + np.array(bins(shape, m.edges))])
 
-    texts, pool_texts = [compact(r) for r in text_rows], [compact(r) for r in pool_text]
-    table = np.array(numbers)[train]
-    m.edges = [np.unique(np.quantile(table[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(N_LAYOUT)]
-    names = sorted({(k, v) for i in train for k, v in zip(("lang", "source"), categories[i], strict=True) if v is not None})[:10_000]
-    m.categories = {c: i for i, c in enumerate(names)}
-    meta, pool_meta = [m.meta_row(a, *c) for a, c in zip(numbers, categories, strict=True)], [m.meta_row(a, *c) for a, c in zip(pool_numbers, pool_categories, strict=True)]
+    texts, pool_texts = ([text_row(r, x) for r, x in zip(*rows, strict=True)] for rows in ((text_rows, layouts), (pool_text, pool_layouts)))
+    own, pool_own = ([m.meta_row(*x) for x in rows] for rows in (meta, pool_meta))
+    scale = np.concatenate([ratio, np.ones(N_LAYOUT * BINS)])
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels for the text view and for the metadata view
-    views = None
+    sides = ((texts, pool_texts, len(scale), scale), (own, pool_own, BINS + len(names), None))
     for turn in range(ROUNDS + 1):
         views = []
-        for rows, pool, extra, size, scale in ((texts, pool_texts, given[0], len(m.buckets), ratio), (meta, pool_meta, given[1], N_LAYOUT * BINS + len(names), None)):
+        for (rows, pool, size, weights), extra in zip(sides, given, strict=True):
             more = sorted(extra)
-            views.append(SparseLogistic(size, scale).fit([rows[i] for i in train] + [pool[i] for i in more], np.concatenate([y[train], [extra[i] for i in more]]), np.concatenate([np.ones(len(train)), np.full(len(more), 0.5)])))
+            views.append(SparseLogistic(size, weights).fit([rows[i] for i in train] + [pool[i] for i in more], np.concatenate([y[train], [extra[i] for i in more]]), np.concatenate([np.ones(len(train)), np.full(len(more), 0.5)])))
+        scales = [platt(view.margin([rows[i] for i in held]), y[held]) for view, (rows, *_) in zip(views, sides, strict=True)]
         if turn == ROUNDS or not len(pool_texts):
             break
-        for view, rows, pool, extra in ((views[0], texts, pool_texts, given[1]), (views[1], meta, pool_meta, given[0])):
-            a, b = platt(view.margin([rows[i] for i in np.flatnonzero(hold)]), y[hold])
+        for view, (a, b), (_, pool, *_), extra in zip(views, scales, sides, reversed(given), strict=True):
             p = sigmoid(a * view.margin(pool) + b)
             rate = y[train].mean()
             for sign, share in ((1, rate), (0, 1 - rate)):
                 order = np.argsort(-p if sign else p, kind="stable")
                 sure = [i for i in order[: int(GIVEN * share) + 1] if (p[i] > 0.95 if sign else p[i] < 0.05)]
                 extra.update((int(i), float(sign)) for i in sure if int(i) not in extra)
-    held = np.flatnonzero(hold)
-    m.weights, m.text_bias, m.meta_weights, m.meta_bias = views[0].w * views[0].scale, views[0].b, views[1].w, views[1].b
-    # Each view is calibrated on what the other doesn't already reject: views see different faults.
-    margins = [views[0].margin([texts[i] for i in held]), views[1].margin([meta[i] for i in held])]
-    scales = [platt(x, y[held]) for x in margins]
-    sure = [sigmoid(a * x + b) > 0.9 for x, (a, b) in zip(margins, scales, strict=True)]
-    for i in (0, 1):
-        use = ~sure[1 - i]
-        if 0 < y[held][use].sum() < use.sum():
-            scales[i] = platt(margins[i][use], y[held][use])
+    weights = views[0].w * views[0].scale
+    m.weights, m.layout_weights, m.text_bias = weights[: len(m.buckets)], weights[len(m.buckets) :], views[0].b
+    m.meta_weights, m.meta_bias = views[1].w, views[1].b
     m.text_scale, m.meta_scale = scales
+    rate = (y.sum() + 1) / (len(y) + 2)
+    m.prior = math.log(rate / (1 - rate))
     m.trained = True
     return m
 
@@ -230,17 +243,17 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     if not bad_of:
         return Model()
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in bad_of], "doc_id long"))  # at most labelled + pool ids
-    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.binary()), ("numbers", pa.list_(pa.float64())), ("lang", pa.string()), ("source", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.binary()), ("layout", pa.list_(pa.float64())), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, sizes = b.column(1).to_pylist(), b.column(4).to_pylist()
-            yield batch(schema, [b.column(0), [text_features(t).tobytes() for t in texts], [layout(t, n) for t, n in zip(texts, sizes, strict=True)], b.column(2), b.column(3)])
+            texts = b.column(1).to_pylist()
+            yield batch(schema, [b.column(0), [text_features(t).tobytes() for t in texts], [layout(t) for t in texts], b.column(2), b.column(3), b.column(4)])
 
-    rows = arrow_map(docs.select(*_columns(docs)).join(wanted, "doc_id", "left_semi"), run, "doc_id long, features binary, numbers array<double>, lang string, source string").collect()
+    rows = arrow_map(docs.select(*_columns(docs)).join(wanted, "doc_id", "left_semi"), run, "doc_id long, features binary, layout array<double>, lang string, source string, n_chars long").collect()
     rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: bytes(r["features"]))}.values(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     own = [[r for r in rows if (bad_of[r["doc_id"]] is not None) == has] for has in (True, False)]
-    parts = [([np.frombuffer(bytes(r["features"]), np.int32) for r in x], [list(r["numbers"]) for r in x], [(r["lang"], r["source"]) for r in x]) for x in own]
+    parts = [([np.frombuffer(bytes(r["features"]), np.int32) for r in x], [list(r["layout"]) for r in x], [(r["n_chars"], r["lang"], r["source"]) for r in x]) for x in own]
     return fit_views(*parts[0], [bad_of[r["doc_id"]] for r in own[0]], *parts[1])
 
 
@@ -273,11 +286,10 @@ class Scorer:
             starts.add(f[1])
         buckets |= starts
         buckets.discard(-1)
-        t = m.text_scale[0] * (math.fsum(self.of_bucket[b] for b in buckets) + m.text_bias) + m.text_scale[1]
-        row = m.meta_row(layout(text, n_chars), lang, source)
-        d = m.meta_scale[0] * (float(m.meta_weights[row].sum()) + m.meta_bias) + m.meta_scale[1]
-        p, q = float(sigmoid(t)), float(sigmoid(d))
-        return p, q, 1 - (1 - p) * (1 - q)
+        shape = float(m.layout_weights[bins(layout(text), m.edges)].sum())
+        t = m.text_scale[0] * (math.fsum(self.of_bucket[b] for b in buckets) + shape + m.text_bias) + m.text_scale[1]
+        d = m.meta_scale[0] * (float(m.meta_weights[m.meta_row(n_chars, lang, source)].sum()) + m.meta_bias) + m.meta_scale[1]
+        return float(sigmoid(t)), float(sigmoid(d)), float(sigmoid(t + d - m.prior))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
