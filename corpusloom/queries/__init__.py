@@ -37,6 +37,6 @@ def query(sql: str | None = None):
 
 
 def load() -> dict[str, Query]:
-    from . import aggregates, filters_joins, graph_queries, retrieval, scalars, sequences, workflow  # noqa: F401
+    from . import aggregates, audits, filters_joins, graph_queries, retrieval, scalars, sequences, stores, workflow  # noqa: F401
 
     return REGISTRY
