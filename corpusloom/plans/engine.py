@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import ranking as K
 from corpusloom.operators import relational as R
 from corpusloom.operators import sequence as S
@@ -58,25 +59,51 @@ class Scope:
     subjects: tuple = ()
     work_set: tuple = ()
     rule: str = "unscoped"
+    topics: tuple = ()
 
 
-def resolve_scope(query: str, mentioned: list[str], explicit: Scope | None = None, planner: Callable[[str], Scope] | None = None) -> Scope:
-    """Explicit scope, else the first cue rule that holds, else a planner's, else none."""
+#: Rules in their order: name, cues, least and most works that it takes, which roles all works get, topics where the text gives none.
+RULES = (
+    ("compare", COMPARE_CUES, 2, None, ("work_set",), ()),
+    ("self", SELF_CUES, 1, 1, ("sources", "subjects"), ("limitations",)),
+    ("discussion", DISCUSSION_CUES, 1, None, ("subjects",), ("discussion",)),
+    ("external", EXTERNAL_CUES, 1, 1, ("subjects", "excluded"), ("limitations", "problems")),
+    ("source", SOURCE_CUES, 1, 1, ("sources",), ()),
+)
+
+
+def topics_of(query: str, titles: list[str]) -> tuple[str, ...]:
+    """Labels whose cues occur in the query without the titles, then up to four of its further words."""
+    for title in sorted(filter(None, titles), key=len, reverse=True):
+        query = re.sub(re.escape(title), " ", query, flags=re.I)
+    low = query.casefold()
+    labels = [label for label, cues in T.TOPIC_LABELS if any(c in low for c in cues)]
+    words = [w for w in re.findall(r"[A-Za-z]{4,}|[\u4e00-\u9fff]{2,}", query) if w.lower() not in T.TITLE_STOP_WORDS]
+    return tuple([*labels, *(w for w in words[:4] if w.lower() not in labels)][:6])
+
+
+def resolve_scope(query: str, mentioned: list[str], explicit: Scope | None = None, planner: Callable[[str], Scope] | None = None, titles: dict[str, str] | None = None) -> Scope:
+    """Explicit scope, else the first cue rule that holds, else a planner's, else none.
+
+    ``titles`` of the mentioned works are taken out of the query before topics are read.  With a source cue and several works
+    the work with the longest whole title in the query is the source, the others are subjects.
+    """
     if explicit is not None:
         return explicit
-    low = query.casefold()
-    has = lambda cues: any(c in low for c in cues)
-    works = tuple(dict.fromkeys(mentioned))
-    if len(works) > 1 and has(COMPARE_CUES):
-        return Scope(work_set=works, rule="compare")
-    if works and has(SELF_CUES):
-        return Scope(sources=works[:1], subjects=works[:1], rule="self")
-    if works and has(EXTERNAL_CUES):
-        return Scope(excluded=works, subjects=works, rule="external")
-    if works and has(DISCUSSION_CUES):
-        return Scope(subjects=works, rule="discussion")
-    if works and has(SOURCE_CUES):
-        return Scope(sources=works[:1], subjects=works[1:], rule="source")
+    low, titles = query.casefold(), titles or {}
+    works = tuple(sorted(set(mentioned)))
+    topics = topics_of(query, [titles.get(w, "") for w in works])
+    for name, cues, least, most, roles, default in RULES:
+        if least <= len(works) <= (most or len(works)) and any(c in low for c in cues):
+            return Scope(**{role: works for role in roles}, rule=name, topics=(topics_of(query, []) if name == "compare" else topics) or default)
+    if len(works) > 1 and any(c in low for c in SOURCE_CUES):
+        flat = " ".join(re.findall("[a-z0-9]+", low))
+        plain = {w: " ".join(re.findall("[a-z0-9]+", titles.get(w, "").casefold())) for w in works}
+        said = [w for w in works if plain[w] and plain[w] in flat]
+        if said:
+            source = min(said, key=lambda w: (-len(plain[w]), w))
+            every = tuple(dict.fromkeys([*topics_of(query, []), *topics]))
+            return Scope(sources=(source,), subjects=tuple(w for w in works if w != source), rule="source and subject", topics=every or ("limitations", "problems"))
     return planner(query) if planner else Scope()
 
 

@@ -91,6 +91,12 @@ def test_scope():
     assert resolve_scope("What limits does Deep Shape itself report?", ["w1"]).sources == ("w1",)
     assert resolve_scope("What do later papers say of Deep Shape?", ["w1"]).excluded == ("w1",)
     assert resolve_scope("anything", []) == Scope()
+    # Discussion comes before external; external and self take one work only; several works with a source cue have one source.
+    assert resolve_scope("Discussion of Deep Shape by other papers", ["w1"]).rule == "discussion"
+    assert resolve_scope("What do other papers say of both?", ["w1", "w2"]).rule == "unscoped"
+    both = resolve_scope("According to Deep Shape, what of mesh flow?", ["w1", "w2"], titles={"w1": "Deep Shape", "w2": "Mesh Flow of all"})
+    assert (both.sources, both.subjects, both.rule) == (("w1",), ("w2",), "source and subject")
+    assert resolve_scope("Deep Shape itself: volume and topology", ["w1"], titles={"w1": "Deep Shape"}).topics[:2] == ("volume", "topology")
     assert Plan("truth").per_document() == 12 and Plan("associative").per_document() == 3 and Plan("associative").per_document(explicit=5) == 3
 
 
