@@ -38,10 +38,14 @@ def incoming(edges: DataFrame, nodes: DataFrame, kind: str, targets: DataFrame,
     return every.filter(F.size("chunks") > 0).orderBy("dst", "src", F.array_join("chunks", ",")).limit(limit)
 
 
-def chase(redirects: DataFrame, longest: int = 1 << 16) -> DataFrame:
-    """(loser, survivor) at the end of each chain, by doubling; what a cycle holds keeps no survivor."""
+def chase(redirects: DataFrame) -> DataFrame:
+    """(loser, survivor) at the end of each chain, by doubling; what a cycle holds keeps no survivor.
+
+    No chain is longer than there are redirects, so what is open after that many steps is a cycle.
+    """
     out, open_ = redirects.select("loser", "survivor"), redirects.select(F.col("loser").alias("survivor")).distinct()
-    for _ in range(longest.bit_length()):
+    out = checkpointed(out)
+    for _ in range(out.count().bit_length() + 1):
         out = checkpointed(out)
         if out.join(open_, "survivor", "left_semi").isEmpty():
             return out
@@ -51,15 +55,15 @@ def chase(redirects: DataFrame, longest: int = 1 << 16) -> DataFrame:
     return out.join(looped, "loser", "left").select("loser", F.when(F.col("cycle").isNull(), F.col("survivor")).alias("survivor"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest reachable node, by minima over neighbours and over the component's own label.
 
-    The labels are written out by checkpoint() each round.
+    Rounds go on until no label changes; labels are written out by checkpoint() each round.
     """
     near = both_ways(edges)
     near = checkpointed(near)
     labels = near.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
+    while True:
         least = near.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("least"))
         step = labels.join(least.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("via"))
         further = step.select(F.col("node").alias("via"), F.col("via").alias("further"))

@@ -15,12 +15,27 @@ from corpusloom.functions import text as T
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(term, doc, tf, dl): term counts and document lengths; lengths come from the token array, without a shuffle."""
+#: Terms that are broadcast to the scan of documents.
+TERMS_MOST = 200_000
+
+
+def postings(docs: DataFrame, doc: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc, tf, dl): term counts and document lengths; lengths come from the token array, without a shuffle.
+
+    With ``terms`` (distinct, of a query side) only their tokens leave the scan; they are broadcast if counted few.
+    """
     tokens = docs.select(doc, T.words(F.col(text)).alias("w")).select(doc, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if terms is not None:
+        tokens = tokens.join(F.broadcast(terms) if terms.count() <= TERMS_MOST else terms, "term", "left_semi")
     return tokens.groupBy("term", doc, "dl").agg(F.count("*").alias("tf"))
 
 
+def text_stats(docs: DataFrame, text: str) -> tuple[int, float]:
+    """The number of documents with words, and their mean length in words: from sizes alone."""
+    row = docs.select(F.size(T.words(F.col(text))).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
+    return row["n"], row["avg"] or 1.0
+
+
 def bm25(index: DataFrame, doc: str, queries: DataFrame, query: str, text: str, k: int, stats: tuple[int, float] | None = None) -> DataFrame:
     """The k best documents of each query: query, rank, doc, score.
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 
+#: Phrases that are broadcast to the scan of texts, of ten words on average at most.
+PHRASES_MOST = 200_000
+
+
 def latest_per_key(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """The value of each key's row that is last in ``order``; one partial aggregation, no self join."""
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
@@ -36,7 +40,8 @@ def within_scope(df: DataFrame, work: str, sources: list | None = None, work_set
 def repeated_margins(df: DataFrame, doc: str, kind: str, page: str, text: str) -> DataFrame:
     """Rows whose kind and text stand on at least two pages of a document: running headers and footers."""
     norm = T.match_text(F.col(text))
-    hits = df.withColumn("norm", norm).filter("norm <> ''")
+    # A 128-bit digest stands for the text, so that lines aren't shuffled.
+    hits = df.withColumn("norm", norm).filter("norm <> ''").withColumn("norm", F.unhex(F.md5("norm")))
     many = hits.groupBy(doc, kind, "norm").agg((F.min(page) < F.max(page)).alias("many")).filter("many").drop("many")
     return hits.join(many, [doc, kind, "norm"], "left_semi").drop("norm")
 
@@ -83,22 +88,24 @@ def unique_prefixes(titles: DataFrame, doc: str, title: str, least_words: int =
     return phrases.groupBy("phrase").agg(F.min(doc).alias(doc), F.max(doc).alias("hi")).filter(F.col(doc) == F.col("hi")).drop("hi")
 
 
-def mentions(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, doc: str, widest: int = 8) -> DataFrame:
+def mentions(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, doc: str) -> DataFrame:
     """(text_id, doc) where a text holds a phrase at word boundaries.
 
-    Texts are cut into word n-grams of up to ``widest`` words, which meet phrases by equality; of a longer
-    phrase the first ``widest`` words meet them, and the rest is then compared.
+    Each phrase is anchored on its word that the fewest phrases have; where a text's word is an anchor, the words
+    around it are compared with the phrase in place.  No n-grams leave the scan, and phrases may be of any length.
     """
     w = texts.select(text_id, T.scope_tokens(F.col(text)).alias("w"))
-    sizes = F.sequence(F.lit(1), F.lit(widest))
-    grams = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    whole = phrases.select(doc, F.split("phrase", " ").alias("all")).select(doc, "all", F.array_join(F.slice("all", 1, widest), " ").alias("phrase"))
-    found = w.select(text_id, F.explode(F.array_distinct(grams)).alias("phrase")).join(whole, "phrase")
-    short = found.filter(F.size("all") <= widest).select(text_id, doc)
-    # Candidates of long phrases are few; they take their texts' words again, so that no gram carries a text.
-    long_ = found.filter(F.size("all") > widest).select(text_id, doc, "all").distinct().join(w, text_id)
-    held = T.contains_phrase(F.array_join("w", " "), F.array_join("all", " "))
-    return short.union(long_.filter(held).select(text_id, doc)).distinct()
+    p = phrases.filter("phrase <> ''").select(doc, F.split("phrase", " ").alias("all")).distinct()
+    words = p.select("all", F.posexplode("all").alias("o", "word"))
+    rare = words.groupBy("word").agg(F.count("*").alias("n"))
+    anchor = words.join(rare, "word").groupBy("all").agg(F.min(F.struct("n", "o", "word")).alias("a")).select("all", F.col("a.o").alias("o"), F.col("a.word").alias("word"))
+    anchored = p.join(anchor, "all")
+    size = anchored.agg(F.count("*").alias("n"), F.sum(F.size("all")).alias("words")).first()
+    side = F.broadcast(anchored) if size["n"] <= PHRASES_MOST and (size["words"] or 0) <= 10 * PHRASES_MOST else anchored
+    at = w.select(text_id, "w", F.posexplode("w").alias("pos", "word")).join(side, "word")
+    start = F.col("pos") - F.col("o")
+    held = (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("all")) == F.col("all"))
+    return at.filter(held).select(text_id, doc).distinct()
 
 
 def violations(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:

@@ -9,16 +9,15 @@ from corpusloom.operators import graph as G
 
 from . import query
 
-EDGES = """SELECT 'n' || n_nationkey AS src, 'IN' AS type, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'USES', 'n' || s_nationkey FROM supplier UNION ALL SELECT 'c' || c_custkey, 'RELATED_TO', 'n' || c_nationkey FROM customer WHERE c_custkey % 10 = 0"""
+EDGES = """SELECT 'n' || n_nationkey AS src, 'IN' AS type, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'USES', 'n' || s_nationkey FROM supplier UNION ALL SELECT 'c' || c_custkey, 'RELATED_TO', 'n' || c_nationkey FROM customer"""
 
 
-def edges(t, customers=None):
-    """Edges of nations, suppliers and customers; of these every tenth, as in EDGES, unless they are given."""
+def edges(t):
+    """Edges of nations, suppliers and customers, as in EDGES."""
     n = lambda p, c: F.concat(F.lit(p), c)
     e = t.nation.select(n("n", "n_nationkey").alias("src"), F.lit("IN").alias("type"), n("r", "n_regionkey").alias("dst"))
     e = e.union(t.supplier.select(n("s", "s_suppkey"), F.lit("USES"), n("n", "s_nationkey")))
-    customers = t.customer.filter("c_custkey % 10 = 0") if customers is None else customers
-    return e.union(customers.select(n("c", "c_custkey"), F.lit("RELATED_TO"), n("n", "c_nationkey")))
+    return e.union(t.customer.select(n("c", "c_custkey"), F.lit("RELATED_TO"), n("n", "c_nationkey")))
 
 
 def nodes(t):
@@ -32,18 +31,8 @@ def nodes(t):
 f1 AS (SELECT b AS node, max(s * 0.85) AS s FROM s0 JOIN e ON a = node GROUP BY 1), f2 AS (SELECT b AS node, max(s * 0.85) AS s FROM f1 JOIN e ON a = node GROUP BY 1)
 SELECT node, round(max(s), 9)::DOUBLE AS score FROM (SELECT * FROM s0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY node""")
 def khop_decay(t):
-    return decayed(t, edges(t))
-
-
-def decayed(t, e):
     seeds = t.spark.createDataFrame([("s1", 1.0), ("s2", 0.5)], "node string, score double")
-    return G.hops(e, seeds, 2)
-
-
-@query()
-def khop_decay_whole(t):
-    """Over the edges of all customers."""
-    return decayed(t, edges(t, t.customer))
+    return G.hops(edges(t), seeds, 2)
 
 
 @query(f"""SELECT src, dst, 'm' || dst || ',k' || src AS chunks FROM ({EDGES}) WHERE type = 'USES' AND dst IN ('n1', 'n2', 'n3') ORDER BY dst, src LIMIT 500""")
@@ -58,17 +47,7 @@ def incoming_typed_edges(t):
 FROM ({EDGES}) JOIN (SELECT 'n' || n_nationkey AS node, n_name AS name FROM nation UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'c' || c_custkey, c_name FROM customer) a ON a.node = src
 JOIN (SELECT 'n' || n_nationkey AS node, n_name AS name FROM nation) b ON b.node = dst WHERE type IN ('USES', 'RELATED_TO')""")
 def triplet_nodes(t):
-    return searchable(t, edges(t))
-
-
-@query()
-def triplet_nodes_whole(t):
-    """Over the edges of all customers."""
-    return searchable(t, edges(t, t.customer))
-
-
-def searchable(t, e):
-    return G.triplets(e.withColumn("chunks", F.array(F.concat(F.lit("m"), "dst"))), nodes(t)).select("node", "text")
+    return G.triplets(edges(t).withColumn("chunks", F.array(F.concat(F.lit("m"), "dst"))), nodes(t)).select("node", "text")
 
 
 @query("""WITH x AS (SELECT l_partkey % 50 AS src, l_returnflag AS type, l_suppkey % 20 AS dst, l_orderkey * 10 + l_linenumber AS pos, 'o' || (l_orderkey % 30) AS chunk FROM lineitem)
@@ -85,37 +64,16 @@ def redirect_chase(t):
     return G.chase(r)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, -l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_partkey <= 300), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS low FROM s UNION SELECT s.b, r.low FROM r JOIN s ON s.a = r.node WHERE r.low < s.b) SELECT node, min(low) AS component FROM r GROUP BY node""")
-def merge_components(t):
-    return joined_parts(t.lineitem.filter("l_quantity = 50 AND l_partkey <= 300"))
-
-
 @query()
-def merge_components_whole(t):
-    """Over all line items; the recursive SQL is too slow for them."""
-    return joined_parts(t.lineitem)
-
-
-def joined_parts(items):
-    e = items.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
-    return G.components(e)
+def merge_components(t):
+    """Over all line items; recursive SQL is too slow for them."""
+    return G.components(t.lineitem.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct())
 
 
-@query("""WITH w AS (SELECT p_partkey AS id, p_brand AS b, p_size, CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS pr FROM part WHERE p_size <= 40)
+@query("""WITH w AS (SELECT p_partkey AS id, p_brand AS b, p_size, CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS pr FROM part)
 SELECT id AS work_id, first_value(id) OVER (PARTITION BY b ORDER BY pr, p_size, id) AS survivor FROM w""")
 def merge_survivors(t):
-    return surviving(t.part.filter("p_size <= 40"))
-
-
-@query()
-def merge_survivors_whole(t):
-    """Over parts of every size."""
-    return surviving(t.part)
-
-
-def surviving(parts):
-    w = parts.select(F.col("p_partkey").alias("work_id"), F.when(F.col("p_size") % 3 == 0, "ingested").when(F.col("p_size") % 3 == 1, "identified").otherwise("provisional").alias("status"), F.col("p_size").alias("created_at"), "p_brand")
+    w = t.part.select(F.col("p_partkey").alias("work_id"), F.when(F.col("p_size") % 3 == 0, "ingested").when(F.col("p_size") % 3 == 1, "identified").otherwise("provisional").alias("status"), F.col("p_size").alias("created_at"), "p_brand")
     first = w.groupBy("p_brand").agg(F.min("work_id").alias("src"))
     same = w.join(first, "p_brand").filter("work_id <> src").select("src", F.col("work_id").alias("dst"))
     return G.survivors(w.drop("p_brand"), same)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
+from corpusloom.functions import text as T
 from corpusloom.operators import ranking as K
 from corpusloom.operators import sequence as S
 from corpusloom.plans import engine
@@ -20,7 +21,8 @@ top AS (SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id
 
 
 def lexical(t, k=10):
-    return K.bm25(K.postings(t.documents, "doc_id", "text"), "doc_id", t.benchmark, "item_id", "text", k)
+    terms = t.benchmark.select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
+    return K.bm25(K.postings(t.documents, "doc_id", "text", terms), "doc_id", t.benchmark, "item_id", "text", k, K.text_stats(t.documents, "text"))
 
 
 @query(f"WITH {BM25} SELECT item_id, rank, doc_id, score FROM top")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -50,10 +51,22 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run over what there is now; the result as a table.  The output mode follows from the query's shape."""
+    """Run over what there is now; the result as a table of files.  The output mode follows from the query's shape.
+
+    Offsets, state and rows are kept under spark.checkpoint.dir (a temporary folder where none is set), so that a run survives its executors.
+    """
     spark = stream.sparkSession
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
     mode = "append" if "before" in stream.columns else "complete"
-    running = stream.writeStream.outputMode(mode).format("memory").queryName(table).trigger(availableNow=True).start()
+
+    def keep(rows: DataFrame, number: int) -> None:
+        """A batch that is run again writes the same folder again."""
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number if mode == 'append' else 0}")
+
+    running = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(table)
+    empty = spark.createDataFrame([], stream.schema)
+    if not running.lastProgress:
+        return empty
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns)

@@ -33,11 +33,11 @@ def run(spark, folder, name):
 
 
 def test_hops_and_triplets(spark, folder):
-    got = dict(run(spark, folder, "khop_decay_whole"))
+    got = dict(run(spark, folder, "khop_decay"))
     want = {"s1": 1.0, "s2": 0.5, "n1": 0.85, "n2": 0.425, "r0": 0.7225}
     want |= {f"c{i}": 0.36125 if i % 2 else 0.7225 for i in range(1, 13)}
     assert got == pytest.approx(want)
-    texts = sorted(x[1] for x in run(spark, folder, "triplet_nodes_whole"))
+    texts = sorted(x[1] for x in run(spark, folder, "triplet_nodes"))
     assert texts == sorted([f"C{i} related to N{1 + i % 2}" for i in range(1, 13)] + ["S1 uses N1", "S2 uses N2"])
 
 
@@ -54,13 +54,13 @@ def test_components(spark, folder):
             if x not in want:
                 want[x] = start
                 todo += near[x]
-    assert dict(run(spark, folder, "merge_components_whole")) == want
+    assert dict(run(spark, folder, "merge_components")) == want
 
 
 def test_survivors(spark, folder):
     parts = [(i, i % 2, size) for i, size in enumerate([45, 44, 41, 50, 48, 42, 40])]
     best = {b: min(((s % 3, s, i) for i, c, s in parts if c == b))[2] for b in (0, 1)}
-    assert dict(run(spark, folder, "merge_survivors_whole")) == {i: best[b] for i, b, _ in parts}
+    assert dict(run(spark, folder, "merge_survivors")) == {i: best[b] for i, b, _ in parts}
 
 
 def test_phrases(spark, folder):
@@ -68,4 +68,4 @@ def test_phrases(spark, folder):
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     want = sorted((d, i) for d, t in docs for i, p in items if words(p) and f" {words(p)} " in f" {words(t)} ")
-    assert sorted(run(spark, folder, "contains_phrase_join_whole")) == want == [(1, 1), (4, 1), (5, 2)]
+    assert sorted(run(spark, folder, "contains_phrase_join")) == want == [(1, 1), (4, 1), (5, 2)]
