@@ -37,6 +37,6 @@ def query(sql: str | None = None):
 
 
 def load() -> dict[str, Query]:
-    from . import aggregates, audits, filters_joins, graph_queries, retrieval, scalars, scopes, sequences, stores, workflow, works  # noqa: F401
+    from . import aggregates, audits, filters_joins, graph_queries, papers, retrieval, scalars, scopes, sequences, stores, workflow, works  # noqa: F401
 
     return REGISTRY
