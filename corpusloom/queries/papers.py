@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import metadata as M
+from corpusloom.operators import splits as S
 
 from . import query
 
@@ -72,3 +73,17 @@ def caption_elements(t):
     none = F.array().cast("array<string>")
     rows = t.part.select(F.col("p_partkey").alias("doc"), F.lit(0).alias("pos"), F.when(m % 4 > 0, F.col("p_name")).alias("text"), F.when(m % 3 == 0, none).when(m % 3 == 1, F.array("p_type", "p_brand")).alias("captions"), F.when(m % 5 == 0, F.array("p_brand")).otherwise(none).alias("footnotes"))
     return M.element_rows(rows).drop("pos")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 13 AS n FROM orders), h AS (SELECT 'key' || chr(10) || '---' AS head),
+p AS (SELECT o_orderkey, n, unnest(range(0, CASE WHEN n <= 3 THEN 1 ELSE (n + 2) // 3 END)) AS part FROM o)
+SELECT o_orderkey, part::INT AS part, head || coalesce(chr(10) || (SELECT string_agg('r' || i || ' of ' || o_orderkey, chr(10) ORDER BY i) FROM range(1, 13) r(i) WHERE i <= n AND (i - 1) // 3 = part), '') AS text FROM p, h""")
+def table_parts(t):
+    rows = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 13).cast("int")), lambda i: F.when(i == 0, F.lit("key\n---")).otherwise(F.concat(F.lit("r"), i.cast("string"), F.lit(" of "), "o_orderkey")))
+    return t.orders.select("o_orderkey", F.posexplode(S.table_parts(F.array_join(rows, "\n"), 12)).alias("part", "text"))
+
+
+@query()
+def forced_splits(t):
+    """Pieces of at most 64 words of whole texts; tests/test_splits.py holds them against brute force."""
+    return t.documents.select("doc_id", F.posexplode(S.force_split(64)(F.col("text"))).alias("piece", "p")).select("doc_id", "piece", "p.start", "p.end", "p.kind")
