@@ -233,7 +233,7 @@ def reference_fields(raw: Column) -> dict[str, Column]:
     body = F.regexp_replace(raw, r"^\s*(\[[^\]]{1,20}\]|\d{1,4}[.)])\s*", "")
     part = lambda p: F.nullif(F.regexp_extract(body, p, 1), F.lit(""))
     return {
-        "year": part(r"\b((?:19|20)\d{2})\b").cast("int"),
+        "year": part(r"(?<!\d)((?:18|19|20)\d{2})(?!\d)").cast("int"),
         "doi": doi(part(r"(10\.\d{4,9}/[^\s\"<>]+)")),
         "url": F.regexp_replace(part(r"(https?://[^\s<>]+)"), r"[.,;]+$", ""),
         "arxiv_id": part(r"(?i)arxiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?)"),
