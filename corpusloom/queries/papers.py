@@ -60,7 +60,7 @@ def named_block(t):
 
 @query("""SELECT p_partkey AS doc, 'a' || p_type || ', ' || p_brand || ' doi:10.1234/X.' || p_partkey || ' x' AS affiliations, '10.1234/x.' || p_partkey AS doi FROM part WHERE length(p_type) + length(p_brand) + length(p_partkey::VARCHAR) + 32 > 40""")
 def affiliations_and_doi(t):
-    got = M.affiliations(items(t)).join(M.document_doi(items(t)), "doc")
+    got = M.by_document(M.affiliations(items(t)), M.document_doi(items(t)))
     return got.select("doc", F.array_join("affiliations", "|").alias("affiliations"), "doi")
 
 
