@@ -21,8 +21,12 @@ top AS (SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id
 
 
 def lexical(t, k=10):
-    terms = t.benchmark.select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
-    return K.bm25(K.postings(t.documents, "doc_id", "text", terms), "doc_id", t.benchmark, "item_id", "text", k, K.text_stats(t.documents, "text"))
+    return K.bm25_topk(t.documents, t.benchmark, "item_id", k)
+
+
+def hit_documents(t, k=10):
+    """The hits with their documents' columns: hits are few, so documents aren't shuffled to them."""
+    return t.documents.join(F.broadcast(lexical(t, k)), "doc_id")
 
 
 @query(f"WITH {BM25} SELECT item_id, rank, doc_id, score FROM top")
@@ -113,13 +117,13 @@ def privileged_prepend(t):
 
 @query()
 def greedy_aspect_cover(t):
-    pool = lexical(t, 40).join(t.documents.select("doc_id", "source", "text"), "doc_id").select(F.col("item_id").cast("string").alias("qid"), F.col("rank").alias("pos"), F.col("doc_id").alias("cand_id"), F.col("source").alias("doc_id"), (F.col("doc_id") % 3).alias("section_id"), "score", "text")
+    pool = hit_documents(t, 40).select(F.col("item_id").cast("string").alias("qid"), F.col("rank").alias("pos"), F.col("doc_id").alias("cand_id"), F.col("source").alias("doc_id"), (F.col("doc_id") % 3).alias("section_id"), "score", "text")
     return S.diversified(pool, "qid", 12, 3, 2, aspects=lambda q: ["erer", "tion", "ment"], seed=False)
 
 
 @query(f"WITH {BM25} SELECT 'evidence:' || doc_id AS evidence_id, item_id, rank, source, left(text, 3000) AS text FROM top JOIN documents USING (doc_id)")
 def evidence_projection(t):
-    return lexical(t).join(t.documents, "doc_id").select(F.concat(F.lit("evidence:"), "doc_id").alias("evidence_id"), "item_id", "rank", "source", F.left("text", F.lit(3000)).alias("text"))
+    return hit_documents(t).select(F.concat(F.lit("evidence:"), "doc_id").alias("evidence_id"), "item_id", "rank", "source", F.left("text", F.lit(3000)).alias("text"))
 
 
 @query(f"WITH {BM25} SELECT count(*) AS n, count(DISTINCT doc_id) AS documents, bool_and(doc_id IN (SELECT doc_id FROM documents)) AS complete FROM top")

@@ -146,3 +146,18 @@ def test_engine_scores_every_document_in_scope(spark, tmp_path):
     graph = spark.createDataFrame([(3, 902, 1), (3, 5, 2)], "query_id long, doc_id long, rank int")
     more = engine.query(queries, "comprehensive", Scope(sources=("mine",)), others={"graph": graph}).filter("query_id = 3").collect()
     assert {r.doc_id: r.channels for r in more}[902] == "graph" and len(more) == 3
+
+
+def test_bm25_topk(spark, monkeypatch):
+    """Scores at the scan and by an index are the same, with documents whose score is rounded to nothing; documents aren't exploded."""
+    from corpusloom.operators import ranking
+
+    docs = spark.createDataFrame([(i, " ".join(["all"] + [f"w{j}" for j in range(i % 7)] + ["É_1"] * (i % 3) + ["x"] * (i // 50 * 200))) for i in range(60)] + [(99, None), (100, "...")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "all"), (2, "W1, w5 é_1 none"), (3, "nothing"), (4, None), (5, "w6 all")], "item_id long, text string")
+    plain = lambda df: sorted(tuple(r[c] for c in ("item_id", "rank", "doc_id", "score")) for r in df.collect())
+    best = ranking.bm25_topk(docs, queries, "item_id", 80)
+    assert "Generate" not in best._jdf.queryExecution().optimizedPlan().toString()
+    got = plain(best)
+    monkeypatch.setattr(ranking, "QUERIES_MOST", 2)
+    assert got == plain(ranking.bm25_topk(docs, queries, "item_id", 80))
+    assert sorted(r[2] for r in got if r[0] == 1) == list(range(60)) and got[59][3] == 0
