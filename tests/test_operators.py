@@ -203,3 +203,11 @@ def test_numbered_groups(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "repeat" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sequence.numbered(rows.limit(0), ["g"], "o", ["size"], "sum", list).count() == 0
+
+
+def test_citation_atoms(spark):
+    """Ranges, mixed and unsound parts; each part's ends are looked for once."""
+    cases = {"1-3; 7": ["1", "2", "3", "7"], "1 2–14, a": ["12", "13", "14", "a"], "3-1": None, "1-99": None, "a-b": ["a-b"], "1-21": [str(i) for i in range(1, 22)], "1-22": None, "5-5": None, " ; ,": None, "": None, None: None, "x, 2 — 4;y": ["x", "2", "3", "4", "y"], "1-2-3": ["1-2-3"]}
+    df = spark.createDataFrame([(c,) for c in cases], "inner string").select("inner", T.citation_atoms(F.col("inner")).alias("atoms"))
+    assert {r["inner"]: r["atoms"] for r in df.collect()} == cases
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 2
