@@ -211,3 +211,14 @@ def test_citation_atoms(spark):
     df = spark.createDataFrame([(c,) for c in cases], "inner string").select("inner", T.citation_atoms(F.col("inner")).alias("atoms"))
     assert {r["inner"]: r["atoms"] for r in df.collect()} == cases
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 2
+
+
+def test_dealt_parts(spark, monkeypatch):
+    """Parts are as many as the rows ask for, and are not merged before the work on them."""
+    from corpusloom.operators import relational as R
+    from corpusloom.queries import Tables, filters_joins
+
+    monkeypatch.setattr(R, "PART_ROWS", 100)
+    assert R.dealt(spark.range(950), "id").rdd.getNumPartitions() == 10
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert filters_joins.subset_equality(t).rdd.getNumPartitions() == t.lineitem.count() // 100 + 1
