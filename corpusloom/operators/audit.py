@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.relational import dealt
+
 #: Reasons why a fact is not covered, from the first stage that loses it on.
 COVERAGE = ("not extracted", "no subject edge", "filtered", "not ranked")
 
@@ -31,7 +33,7 @@ def redundancy(claims: DataFrame, baseline: DataFrame, by: str, fact: str) -> Da
 
 def about_audit(expected: DataFrame, stored: DataFrame, claim: str, target: str, own: str) -> DataFrame:
     """Each claim's expected targets against its stored ones: counts, stored ones of its own document, and a verdict."""
-    e, s = expected.select(claim, target).distinct().withColumn("_e", F.lit(1)), stored.select(claim, target, own).distinct().withColumn("_s", F.lit(1))
+    e, s = (dealt(df.select(claim, target, *more), claim, target).distinct().withColumn(flag, F.lit(1)) for df, more, flag in ((expected, (), "_e"), (stored, (own,), "_s")))
     both = e.join(s, [claim, target], "full")
     sums = both.groupBy(claim).agg(F.count("_e").alias("expected"), F.count("_s").alias("stored"), F.count(F.when(F.col("_e").isNotNull() & F.col("_s").isNotNull(), 1)).alias("matched"), F.count(F.when(F.col(own), 1)).alias("self_targets"))
     verdict = F.when(F.col("matched") == 0, "MISSING").when((F.col("matched") == F.col("expected")) & (F.col("stored") == F.col("expected")), "MATCH").otherwise("PARTIAL")
